@@ -106,7 +106,7 @@ class KernelMachine:
 
     def text_margin(self, text: str, cache: dict[str, float]) -> float:
         """Worst word of the worst sentence; a text without words has the bias's margin."""
-        words = set(units(text)) if _has_runs(text) else _plain(text)
+        words = _plain(text) | set(units(text)) if _has_runs(text) else _plain(text)
         new = [w for w in words if w not in cache]
         if new:
             if len(cache) > 400_000:
@@ -122,6 +122,8 @@ class KernelMachine:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(margin) + self.offset, -30, 30)))
 
 
+_MARKS = re.compile(r"[\W_]+")
+_INNER = re.compile(r"\w[\W_]+\w[\W_]+\w")  # a word taken apart by marks is also read without them
 _RUN = re.compile(r"(?:^|\s)\S\s\S\s\S(?:\s|$)")
 
 
@@ -136,6 +138,8 @@ def _plain(text: str) -> set[str]:
         words.difference_update(long)
         for w in long:
             words.update(w[i : i + WIDTH] for i in range(0, len(w) - WIDTH // 2, WIDTH // 2))
+    marked = [w for w in words if not w.isalnum()]
+    words.update(x for w in marked if len(x := _MARKS.sub("", w)) > 3 and _INNER.search(w))
     return {w for w in words if len(w) > 1}
 
 
@@ -164,6 +168,16 @@ def _dense(parts: list, rows: dict[int, int]) -> np.ndarray:
     return out
 
 
+def _stretched(words: list[str], rng) -> list[str]:
+    """Each word with one mark or one double of its letters inserted inside: variants that share its label."""
+    out = []
+    for w in words:
+        if len(w) > 4:
+            i, j = rng.integers(2, len(w) - 1, 2)
+            out += [w[:i] + "*-._1"[int(rng.integers(5))] + w[i:], w[:j] + w[j - 1] + w[j:]]
+    return out
+
+
 def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4) -> KernelMachine:
     """Multiple-instance fit: a toxic text has at least one toxic word, a clean text none.
 
@@ -200,7 +214,7 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4)
     witnesses: dict[str, int] = {}
     for b in toxic_bags:
         w = max(b, key=lambda w: (rating[w], w))
-        if rating[w] > 1.5:
+        if rating[w] > 1.5 and max(toxic_words[w], stem_t[w[:4]]) > 2:
             witnesses[w] = witnesses.get(w, 0) + 1
     rng = np.random.default_rng(11)
     pool = sorted(clean_words, key=lambda w: (-clean_words[w], w))
@@ -222,12 +236,15 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4)
         val, vec = np.linalg.eigh(gram)
         good = val > 1e-6 * val.max()
         root = vec[:, good] / np.sqrt(val[good])
-        words = positives + negatives
+        bent, straight = _stretched(positives[:1500], rng), _stretched(negatives[:1500], rng)
+        bent = [w for w in bent if w not in clean_words]
+        words = positives + bent + negatives + straight
         k = _dense(sparse_features(words), rows) @ lm.T
         z = np.hstack([k @ root, np.ones((len(words), 1))])
-        t = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
+        t = np.array([1.0] * (len(positives) + len(bent)) + [-1.0] * (len(negatives) + len(straight)))
         mass = np.array([float(min(witnesses[w], 20)) for w in positives])
-        cost = np.concatenate([mass / mass.sum(), np.full(len(negatives), 1.0 / len(negatives))]) * 400.0
+        share_of = lambda n, part: np.full(n, part / max(1, n))
+        cost = 400.0 * np.concatenate([mass / mass.sum(), share_of(len(bent), 0.02), share_of(len(negatives), 1.0), share_of(len(straight), 0.1)])
         v = _newton_svm(z, t, cost)
         gamma = lm.T @ (root @ v[:-1])
         weights = np.zeros(1 << BITS, np.float32)
@@ -254,11 +271,12 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4)
     cache = {}
     m = np.array([machine.text_margin(t, cache) for t in texts])
     # Platt scaling of the documents' margins.
-    a, b = 3.0, 0.0
-    for _ in range(300):
-        p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        r = (p - y) * np.where(y > 0, 0.5 / n1, 0.5 / n0)
-        a, b = a - 2.0 * ((r * m).sum() + 1e-3 * (a - 3)), b - 2.0 * r.sum()
+    x, ab = np.stack([m, np.ones(len(m))], 1), np.array([3.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.3, 0.01])
+        ab = ab - np.clip(np.linalg.solve(h, x.T @ (p - y) + np.array([0.3 * (ab[0] - 3.0), 0.01 * ab[1]])), -2, 2)
+    a, b = ab
     machine.slope, machine.offset = float(max(a, 0.1)), float(b)
     return machine
 
