@@ -23,6 +23,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.4  # of the item's score against itself
 OVERLAP = 0.5  # of the trigrams of question and of answer
 BLOCK = 32
+BLOCKS = 256
 CHUNK = 256  # longer items are indexed in chunks of so many words
 #: Text of the items held in one broadcast index; more items are searched in several passes.
 SHARD_BYTES = 8_000_000
@@ -71,6 +72,22 @@ class ItemIndex:
         for ks, xs, blocks in self.postings:
             blocks += [max(xs[i : i + BLOCK]) for i in range(0, len(ks), BLOCK)]
         self.most = np.array([max(p[1]) for p in self.postings] or [0.0])
+        # Bounds for whole batches of passages: items in at most BLOCKS blocks; terms of many items as a matrix of block
+        # maxima, the others as lists of blocks.
+        size = max(1, -(-len(docs) // BLOCKS))
+        self.column, rare = np.full(len(df) + 1, -1, np.int64), []
+        often = [t for t, p in enumerate(self.postings) if len(p[0]) >= 5]
+        self.column[often] = np.arange(len(often))
+        self.maxima = np.zeros((len(often), max(1, -(-len(docs) // size))), np.float32)
+        self.first = np.zeros(len(df) + 2, np.int64)
+        for t, (ks, xs, _) in enumerate(self.postings):
+            if self.column[t] >= 0:
+                np.maximum.at(self.maxima[self.column[t]], np.array(ks) // size, np.array(xs, np.float32))
+            else:
+                rare += [(k // size, x) for k, x in zip(ks, xs, strict=True)]
+            self.first[t + 1] = len(rare)
+        self.rare_block = np.array([b for b, _ in rare], np.int64)
+        self.rare_impact = np.array([x for _, x in rare], np.float32)
         self.segment = min(CHUNK, max(32, -(-max(map(len, docs), default=0) // 16) * 16))
 
     def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
@@ -117,7 +134,35 @@ class ItemIndex:
                     c[1] = bisect_left(docs, to, c[1])
                     c[0] = docs[c[1]] if c[1] < len(docs) else end
 
+    def _able(self, owner: np.ndarray, term: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """Which passages (a segment with the next of its text) some block's upper bound lets reach the threshold."""
+        n = len(same)
+        column = self.column[term]
+        often = column >= 0
+        holds = np.zeros((n + 1, len(self.maxima)), np.float32)
+        holds[owner[often], column[often]] = 1
+        bound = np.maximum(holds[:-1], np.where(same[:, None], holds[1:], 0)) @ self.maxima
+        t, o = term[~often], owner[~often]
+        count = self.first[t + 1] - self.first[t]
+        at = np.arange(int(count.sum())) + np.repeat(self.first[t] - (count.cumsum() - count), count)
+        rare = np.zeros((n + 1, bound.shape[1]), np.float32)
+        np.add.at(rare, (np.repeat(o, count), self.rare_block[at]), self.rare_impact[at])
+        bound += rare[:-1]
+        bound += np.where(same[:, None], rare[1:], 0)
+        return bound.max(1, initial=0) >= THRESHOLD - 1e-4
+
     def leaks(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float]]]:
+        """As leaks_of, about half a megabyte of text at a time."""
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size >= 500_000:
+                out += self.leaks_of(held)
+                held, size = [], 0
+        return out + self.leaks_of(held) if held else out
+
+    def leaks_of(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float]]]:
         """For each text: item id -> (score, question overlap, answer overlap) of its best verified passage."""
         out: list[dict] = [{} for _ in texts]
         if not self.ids:
@@ -133,10 +178,9 @@ class ItemIndex:
         known = ids >= 0
         pairs = np.unique(seg[known] * len(self.terms) + ids[known])
         owner, term = pairs // len(self.terms), pairs % len(self.terms)
-        bound = np.bincount(owner, self.most[term], int(segments.sum()) + 1)
         text_of = np.repeat(np.arange(len(texts)), segments)
         same = np.append(text_of[1:] == text_of[:-1], False) if len(text_of) else np.zeros(0, bool)
-        able = bound[: len(text_of)] + np.where(same, bound[1 : len(text_of) + 1], 0) >= THRESHOLD - 1e-9
+        able = self._able(owner, term, same) if len(same) else same
         starts = np.searchsorted(owner, np.arange(int(segments.sum()) + 2))
         for s in np.flatnonzero(able).tolist():
             i = int(text_of[s])
