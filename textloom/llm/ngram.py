@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, fold_of, materialize, text_bytes, whole_text
+from .common import bucket_count, fold_of, materialize, small_batches, text_bytes, whole_text
+from .words import WordHasher
 
 FILTER_BITS = 1 << 29
 BITS_PER_ENTRY = 10
@@ -74,15 +75,18 @@ def _blocks(documents: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        numbers, state = counter(part << 24), {}
+        numbers, state, hasher = counter(part << 24), {}, WordHasher()
 
         def reset():
             state.update(ids=defaultdict(counter().__next__), docs=[], words=[], tf=[], owner=[], seq=[], tokens=0)
 
         def flush():
             block = next(numbers)
-            names = np.fromiter(map(xxhash.xxh3_64_intdigest, state["ids"]), np.uint64, len(state["ids"]))
-            names[state["ids"][b"\x20"]] = END
+            words = list(state["ids"])
+            end = state["ids"][b"\x20"]
+            words[end] = b"x"
+            names = hasher.each(words)
+            names[end] = END
             docs, size, train, keys = (np.array(x) for x in zip(*state["docs"], strict=True))
             rows = [(-1, block, docs.astype(np.int64).tobytes(), size.astype(np.int64).tobytes(), b"", keys.astype(np.int64).tobytes())]
             word, tf, owner = (np.concatenate(state[k]) for k in ("words", "tf", "owner"))
@@ -293,19 +297,16 @@ class NgramModel:
     log_z: float
     weights: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
 
-    def terms(self, texts: list[str], cache: dict[bytes, int]):
+    def terms(self, texts: list[str], hasher: WordHasher):
         """For all tokens of the texts in one array: (tokens by text, p_word, pair's count, class and count before)."""
-        rows = []
-        for t in texts:
-            w = tokens_of(t)
-            rows.append(np.fromiter(map(cache.__getitem__, w), np.uint64, len(w)))
-        size = np.array([len(r) + 1 for r in rows])
+        words, counts = hasher.words(texts)
+        size = counts + 1
         ends = size.cumsum() - 1
         now = np.full(int(size.sum()), END, np.uint64)
         before = np.full(int(size.sum()), START, np.uint64)
         inner = np.ones(len(now), bool)
         inner[ends] = False
-        now[inner] = np.concatenate([*rows, np.zeros(0, np.uint64)])
+        now[inner] = words
         later = np.ones(len(now), bool)
         later[ends - size + 1] = False
         before[later] = now[np.flatnonzero(later) - 1]
@@ -320,24 +321,16 @@ class NgramModel:
         group = np.clip(np.log2(np.maximum(previous, 1)).astype(int), 0, CLASSES - 1)
         return size, (count + 0.5) / 10**self.log_z, np.minimum(together, previous), group, previous
 
-    def scores(self, texts: list[str], cache: dict[bytes, int]) -> np.ndarray:
+    def scores(self, texts: list[str], hasher: WordHasher) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        size, word, together, group, previous = self.terms(texts, cache)
+        size, word, together, group, previous = self.terms(texts, hasher)
         w = np.where(previous >= 1, self.weights[group], 0.0)
         p = (1 - w) * word + w * together / np.maximum(previous, 1)
         return np.add.reduceat(np.log10(p), size.cumsum() - size)
 
 
-class _Names(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _groups_of(texts: list[str], most: int = 400_000):
+def _groups_of(texts: list[str], most: int = 1_000_000):
     """Runs of texts of about `most` characters together."""
     start, size = 0, 0
     for k, t in enumerate(texts):
@@ -354,11 +347,11 @@ def _tune(opened, sample: DataFrame) -> np.ndarray:
     bins, step = 160, 0.25
 
     def run(batches):
-        cache, model = _Names(), opened(np.zeros(CLASSES))
+        hasher, model = WordHasher(), opened(np.zeros(CLASSES))
         hist = np.zeros((CLASSES, bins + 1), np.int64)
         for b in batches:
             for texts in _groups_of(list(b["text"])):
-                _, word, together, group, previous = model.terms(texts, cache)
+                _, word, together, group, previous = model.terms(texts, hasher)
                 ok = previous >= 1.5
                 left = np.maximum(together[ok] - 1, 0) / np.maximum(previous[ok] - 1, 1)
                 k = np.where(left > 0, np.clip(np.round(np.log2(np.maximum(left, 1e-30) / word[ok]) / step) + bins // 2, 1, bins), 0).astype(int)
@@ -384,6 +377,7 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     Null text is empty (one end token); repeated rows are scored alike; a null doc_id hashes as the empty text; an
     empty table gives an empty result; without training documents every token has probability 1 (N = 0, V = 0).
     """
+    small_batches(documents.sparkSession)
     docs = documents.select("doc_id", "text")
     buckets = bucket_count(0.7 * text_bytes(docs), BUCKET_BYTES)
     own = F.when(F.col("bucket") < 0, F.col("block"))  # the lists of documents stay apart
@@ -404,9 +398,9 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     weights = _tune(opened, keyed.filter(F.col("train") & (F.pmod(F.xxhash64("doc"), F.lit(step)) == 0)).select("text"))
 
     def run(batches):
-        cache, model = _Names(), opened(weights)
+        hasher, model = WordHasher(), opened(weights)
         for b in batches:
-            found = [model.scores(group, cache) for group in _groups_of(list(b["text"]))]
+            found = [model.scores(group, hasher) for group in _groups_of(list(b["text"]))]
             yield pd.DataFrame({"doc": b["doc"], "key": b["key"], "held_out": ~b["train"], "score": np.concatenate([np.zeros(0), *found])})
 
     scored = keyed.mapInPandas(run, "doc long, key long, held_out boolean, score double")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, materialize, text_bytes, whole_text
+from .common import bucket_count, materialize, small_batches, text_bytes, whole_text
 
 WINDOW, K = 100, 32
 PIECE = 1 << 18  # bytes hashed at once
@@ -202,7 +202,7 @@ def _tuples(docs: DataFrame, buckets: int) -> DataFrame:
                 anchor, name, lo, hi = stretches(data, [p[3] for p in parts])
                 if len(lo):
                     doc, tag, start = _located(parts, lo)
-                    for c, v in zip(cols, (anchor, name, doc, tag, start, (hi - lo).astype(np.int64)), strict=True):
+                    for c, v in zip(cols, (anchor, name, doc, tag, start.astype(np.uint32), (hi - lo).astype(np.uint32)), strict=True):
                         c.append(v)
             if not cols[0]:
                 continue
@@ -212,7 +212,7 @@ def _tuples(docs: DataFrame, buckets: int) -> DataFrame:
             cut = np.flatnonzero(np.append(True, np.diff(to[order]) > 0))
             out = []
             for part in np.split(order, cut[1:]):
-                out.append((int(to[part[0]]), *(v[part].tobytes() for v in (anchor, name, doc, tag, start.astype(np.uint32), span.astype(np.uint32)))))
+                out.append((int(to[part[0]]), *(v[part].tobytes() for v in (anchor, name, doc, tag, start, span))))
             yield pd.DataFrame(out, columns=["bucket", "anchors", "names", "docs", "tags", "starts", "spans"])
 
     return docs.mapInPandas(run, _L0)
@@ -311,6 +311,7 @@ def _level1(batches):
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """(doc, tag, start, size): stretches of bytes that are covered by windows which also start earlier."""
+    small_batches(documents.sparkSession)
     docs = _keyed(documents)
     size = text_bytes(documents)
     buckets = bucket_count(0.9 * size, BUCKET_BYTES)

@@ -42,6 +42,11 @@ class WordHasher:
         owner = np.searchsorted(sizes.cumsum(), start, side="right")
         return x ^ (x >> np.uint64(31)), np.bincount(owner, minlength=len(parts))
 
+    def each(self, words: list[bytes]) -> np.ndarray:
+        """Hashes of single words (without white space)."""
+        parts = [self._hash([b" ".join(words[i : i + 50_000])])[0] for i in range(0, len(words), 50_000)]
+        return np.concatenate([np.zeros(0, np.uint64), *parts])
+
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all words in order, number of words by text)."""
         hashes, counts, held, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], 0
