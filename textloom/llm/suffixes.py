@@ -192,7 +192,8 @@ _L0 = "bucket int, anchors binary, names binary, docs binary, tags binary, start
 
 def _tuples(docs: DataFrame, buckets: int) -> DataFrame:
     """Level-0 suffix tuples in binary blocks, dealt by anchor."""
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    # anchors are least hashes, so their high bits are uneven; the low ones take no part in the comparison
+    low = np.uint64(buckets - 1)
 
     def run(batches):
         for b in batches:
@@ -207,7 +208,7 @@ def _tuples(docs: DataFrame, buckets: int) -> DataFrame:
             if not cols[0]:
                 continue
             anchor, name, doc, tag, start, span = (np.concatenate(c) for c in cols)
-            to = (anchor >> shift).astype(np.int64)
+            to = (anchor & low).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cut = np.flatnonzero(np.append(True, np.diff(to[order]) > 0))
             out = []
@@ -259,7 +260,7 @@ _L1 = "bucket int, docs binary, tags binary, starts binary, sizes binary, data b
 
 def _recursing(joined: DataFrame, buckets: int) -> DataFrame:
     """Bytes of the stretches that recurse, dealt by anchor.  joined: doc, tag, text, asks."""
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    low = np.int64(buckets - 1)
 
     def run(batches):
         for b in batches:
@@ -267,7 +268,7 @@ def _recursing(joined: DataFrame, buckets: int) -> DataFrame:
             for doc, tag, text, asks in zip(b["doc"].tolist(), b["tag"].tolist(), b["text"], b["asks"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for x in asks:
-                    to = int(np.int64(x["anchor"]).astype(np.uint64) >> shift)
+                    to = int(np.int64(x["anchor"]) & low)
                     held.setdefault(to, []).append((doc, tag, x["start"], x["size"], data[x["start"] : x["start"] + x["size"]]))
             rows = []
             for to, items in held.items():
