@@ -168,6 +168,12 @@ def _dense(parts: list, rows: dict[int, int]) -> np.ndarray:
     return out
 
 
+def _kernel(words: list[str], rows: dict[int, int], lm: np.ndarray) -> np.ndarray:
+    """Kernel values of the words against the landmarks, a thousand words at a time: dense rows are wide."""
+    parts = [_dense(sparse_features(words[i : i + 1024]), rows) @ lm.T for i in range(0, len(words), 1024)]
+    return np.concatenate(parts)
+
+
 def _stretched(words: list[str], rng) -> list[str]:
     """Each word with one mark or one double of its letters inserted inside: variants that share its label."""
     out = []
@@ -188,7 +194,8 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4)
     flat = KernelMachine(bias=0.0, slope=1.0, offset=float(np.log(share / (1 - share))))
     if len(y) < 10 or y.min() == y.max():
         return flat
-    bags = [_plain(t) | {u for s in _END.split(t) if _has_runs(s) for u in units(s)} for t in texts]
+    one_of: dict[str, str] = {}  # texts share words: each is held once
+    bags = [{one_of.setdefault(w, w) for w in _plain(t) | {u for s in _END.split(t) if _has_runs(s) for u in units(s)}} for t in texts]
     clean_words: dict[str, int] = {}
     toxic_words: dict[str, int] = {}
     for b, label in zip(bags, y, strict=True):
@@ -239,8 +246,7 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4)
         bent, straight = _stretched(positives[:1500], rng), _stretched(negatives[:1500], rng)
         bent = [w for w in bent if w not in clean_words]
         words = positives + bent + negatives + straight
-        k = _dense(sparse_features(words), rows) @ lm.T
-        z = np.hstack([k @ root, np.ones((len(words), 1))])
+        z = np.hstack([_kernel(words, rows, lm) @ root, np.ones((len(words), 1))])
         t = np.array([1.0] * (len(positives) + len(bent)) + [-1.0] * (len(negatives) + len(straight)))
         mass = np.array([float(min(witnesses[w], 20)) for w in positives])
         share_of = lambda n, part: np.full(n, part / max(1, n))
