@@ -110,3 +110,43 @@ def language_guess(docs: DataFrame) -> DataFrame:
     return best.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("b.lang").alias("guess"))
 
 
+
+
+BREAKS = "[\\n\\r\\t\"';:|()«»–]|  +"
+
+
+def phrases(text: Column) -> Column:
+    """Phrases of a text: cut at line ends, quotes, brackets, colons, bars, double blanks, and after a dot that ends a
+    word of four characters or more (shorter ones are taken for abbreviations); no empty phrases."""
+    cut = F.split(F.regexp_replace(text, r"([^\s.]{4})\. ", "$1\n"), BREAKS)
+    return F.filter(F.transform(cut, lambda p: F.trim(p)), lambda p: p != "")
+
+
+#: Latin letters with marks and without.
+MARKED, UNMARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Keys of the Latin and of the Russian keyboard.
+LATIN_KEYS, RUSSIAN_KEYS = "qwertyuiop[]asdfghjkl;'zxcvbnm,.", "йцукенгшщзхъфывапролджэячсмитьбю"
+
+
+def unmarked(text: Column) -> Column:
+    """Lower case without diacritic marks."""
+    return F.translate(F.lower(text), MARKED, UNMARKED)
+
+
+def other_keyboard(text: Column, to_russian: bool = True) -> Column:
+    """What the same keys give on the other layout."""
+    a, b = (LATIN_KEYS, RUSSIAN_KEYS) if to_russian else (RUSSIAN_KEYS, LATIN_KEYS)
+    return F.translate(F.lower(text), a, b)
+
+
+def truncated(text: Column, most: int) -> tuple[Column, Column]:
+    """(the first tokens, whether there were more)."""
+    t = token_array(text)
+    return F.slice(t, 1, most), F.size(t) > most
+
+
+def chopped(unknown: DataFrame, vocab: DataFrame, least: int = 3) -> DataFrame:
+    """(word, stem): the longest known proper prefix of at least `least` characters."""
+    at = unknown.filter(F.length("tok") > least).select(F.col("tok").alias("word"), F.explode(F.sequence(F.lit(least), F.length("tok") - 1)).alias("i"))
+    hits = at.withColumn("stem", F.substr("word", F.lit(1), F.col("i"))).join(vocab.select(F.col("tok").alias("stem")), "stem")
+    return hits.groupBy("word").agg(F.max_by("stem", "i").alias("stem"))

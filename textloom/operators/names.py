@@ -120,3 +120,32 @@ def tag_probability(shares: DataFrame, centers: DataFrame) -> DataFrame:
     d1, d0 = (F.sqrt(F.greatest(F.col(f"b{i}") + F.col(f"d{i}"), zero)) for i in (1, 0))
     p = F.when(d1 + d0 > 0, d0 / (d1 + d0)).otherwise(0.5)
     return own.crossJoin(F.broadcast(base)).select("doc_id", F.round(p, 6).alias("p"))  # one row
+
+
+def topic_filter(hits: DataFrame, links: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Hits (qid, id, ..) whose id links to a wanted topic of every class of topics; all hits of a query that keeps none.
+
+    links: (id, topic); wanted: (cls, topic).  Wanted topics without links are ignored.
+    """
+    live = wanted.join(links.select("topic").distinct(), "topic", "left_semi").distinct()
+    classes = live.agg(F.countDistinct("cls").alias("classes"))
+    met = links.join(live, "topic").groupBy("id").agg(F.countDistinct("cls").alias("met")).crossJoin(F.broadcast(classes))  # one row
+    good = met.filter("met = classes").select("id", F.lit(True).alias("good"))
+    w = Window.partitionBy("qid")
+    return hits.join(good, "id", "left").withColumn("any", F.max("good").over(w)).filter("good OR any IS NULL").drop("good", "any")
+
+
+def chunks(positions: DataFrame, width: int) -> DataFrame:
+    """(item_id, doc_id, rank, pos, weight): places to show, densest first, none closer than `width` to a better one.
+
+    positions: (item_id, doc_id, pos) of the query's words in a document.  The weight is the number of hits within half
+    a width; the greedy choice folds one document's hits of one query.
+    """
+    near = Window.partitionBy("item_id", "doc_id").orderBy("pos").rangeBetween(-(width // 2), width // 2)
+    rated = positions.withColumn("weight", F.count("*").over(near))
+    hits = F.array_sort(F.collect_set(F.struct((-F.col("weight")).alias("w"), F.col("pos").cast("long").alias("pos"))))
+    none = F.expr("cast(array() as array<struct<w:bigint,pos:bigint>>)")
+    far = lambda acc, x: ~F.exists(acc, lambda y: F.abs(y["pos"] - x["pos"]) < width)
+    chosen = F.aggregate("hits", none, lambda acc, x: F.when(far(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    out = rated.groupBy("item_id", "doc_id").agg(hits.alias("hits")).select("item_id", "doc_id", F.posexplode(chosen).alias("rank", "c"))
+    return out.select("item_id", "doc_id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("c.pos").alias("pos"), (-F.col("c.w")).alias("weight"))

@@ -379,3 +379,89 @@ def rule_rewriting(spark, d):
 def json_answers(spark, d):
     hits = I.search(I.postings(_t(spark, d, "documents")), I.query_grams(_t(spark, d, "benchmark")))
     return hits.groupBy("item_id").agg(F.to_json(F.struct(F.col("item_id").alias("qid"), F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("docs"))).alias("answer"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([^\s.]{4})\. ', '\1' || chr(10), 'g'), '[\n\r\t"'';:|()«»–]|  +')) AS p FROM documents) SELECT doc_id, count(*)::BIGINT AS n, max(length(trim(p)))::BIGINT AS longest FROM p WHERE trim(p) <> '' GROUP BY doc_id""")
+def phrase_breaks(spark, d):
+    p = _t(spark, d, "documents").select("doc_id", F.explode(X.phrases(F.col("text"))).alias("p"))
+    return p.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("p")).cast("long").alias("longest"))
+
+
+@query(f"WITH {_TF} SELECT doc_id, tok, round(tf, 9) AS tf FROM tf")
+def term_shares(spark, d):
+    return N.term_shares(X.tokens(_t(spark, d, "documents"))).withColumn("tf", F.round("tf", 9))
+
+
+@query(f"SELECT doc_id, translate(lower(text), '{X.MARKED}', '{X.UNMARKED}') AS plain FROM documents")
+def unmarked_text(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.unmarked(F.col("text")).alias("plain"))
+
+
+@query(f"SELECT p_partkey, translate(lower(p_name), '{X.LATIN_KEYS.replace(chr(39), chr(39) * 2)}', '{X.RUSSIAN_KEYS}') AS typed FROM part")
+def keyboard_layout(spark, d):
+    return _t(spark, d, "part").select("p_partkey", X.other_keyboard(F.col("p_name")).alias("typed"))
+
+
+@query(r"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+|[0-9]+') AS t FROM documents) SELECT doc_id, list_aggregate(t[1:20], 'string_agg', ' ') AS head, len(t) > 20 AS cut FROM t")
+def truncated_tokens(spark, d):
+    head, cut = X.truncated(F.col("text"), 20)
+    return _t(spark, d, "documents").select("doc_id", F.array_join(head, " ").alias("head"), cut.alias("cut"))
+
+
+@query(f"WITH {_VOC} SELECT tok.doc_id, count(v.tok)::BIGINT AS known, count(*) - count(v.tok) AS unknown FROM tok LEFT JOIN v USING (tok) GROUP BY tok.doc_id")
+def known_words(spark, d):
+    t, vocab = X.tokens(_t(spark, d, "documents")), _words(spark, d)[1]
+    both = t.join(vocab, "tok", "left")
+    return both.groupBy("doc_id").agg(F.count("freq").alias("known"), (F.count("*") - F.count("freq")).alias("unknown"))
+
+
+@query(f"WITH {_VOC}, c AS (SELECT u.tok AS word, u.tok[:i] AS stem, i FROM u, (SELECT unnest(range(3, 80)) AS i) WHERE i < length(u.tok)) SELECT word, arg_max(stem, i) AS stem FROM c WHERE stem IN (SELECT tok FROM v) GROUP BY word")
+def chopped_stems(spark, d):
+    return X.chopped(*_words(spark, d))
+
+
+@query(f"WITH {_VOC} SELECT DISTINCT tok, tok[:i-1] || tok[i+1:] AS variant FROM v, (SELECT unnest(range(1, 80)) AS i) WHERE i <= length(tok)")
+def omission_variants(spark, d):
+    return _words(spark, d)[1].select("tok", F.explode(X.deletions(F.col("tok"))).alias("variant"))
+
+
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_type = (SELECT min(p_type) FROM part) AND p_size > 10")
+def entities_of_class(spark, d):
+    part = _t(spark, d, "part")
+    first = part.agg(F.min("p_type").alias("p_type"))
+    return part.join(F.broadcast(first), "p_type").filter("p_size > 10").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))  # one row
+
+
+@query("WITH l AS (SELECT DISTINCT o_custkey AS id, p_brand AS topic FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey), live AS (SELECT DISTINCT w.cls, w.topic FROM (SELECT DISTINCT p_size % 2 AS cls, p_brand AS topic FROM part WHERE p_retailprice < 920) w JOIN l USING (topic)), good AS (SELECT id FROM l JOIN live USING (topic) GROUP BY id HAVING count(DISTINCT cls) = (SELECT count(DISTINCT cls) FROM live)), h AS (SELECT c_nationkey AS qid, c_custkey AS id FROM customer) SELECT qid, id FROM h WHERE id IN (SELECT id FROM good) OR qid NOT IN (SELECT qid FROM h WHERE id IN (SELECT id FROM good))")
+def topic_filtered(spark, d):
+    part = _t(spark, d, "part")
+    links = _t(spark, d, "orders").join(_t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("p_partkey") == F.col("l_partkey"))
+    wanted = part.filter("p_retailprice < 920").select((F.col("p_size") % 2).alias("cls"), F.col("p_brand").alias("topic"))
+    hits = _t(spark, d, "customer").select(F.col("c_nationkey").alias("qid"), F.col("c_custkey").alias("id"))
+    return N.topic_filter(hits, links.select(F.col("o_custkey").alias("id"), F.col("p_brand").alias("topic")).distinct(), wanted)
+
+
+@query(f"WITH {_LINKS} SELECT id, sum(weight)::DOUBLE AS weight FROM w WHERE topic IN (SELECT DISTINCT p_type FROM part WHERE p_size > 40) GROUP BY id HAVING sum(weight) > 500")
+def has_topics(spark, d):
+    wanted = _t(spark, d, "part").filter("p_size > 40").select(F.col("p_type").alias("topic")).distinct()
+    return _topic_weights(spark, d).join(wanted, "topic", "left_semi").groupBy("id").agg(F.sum("weight").alias("weight")).filter("weight > 500")
+
+
+_SPOTS = _TOK + r", q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+|[0-9]+')) AS tok FROM benchmark WHERE item_id % 10 = 0), s AS (SELECT DISTINCT item_id, doc_id, pos FROM tok JOIN q USING (tok)), r AS (SELECT *, count(*) OVER (PARTITION BY item_id, doc_id ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS weight FROM s)"
+
+
+def _chunks(spark, d):
+    t = X.tokens(_t(spark, d, "documents"))
+    return N.chunks(I.query_grams(_t(spark, d, "benchmark").filter("item_id % 10 = 0")).withColumnRenamed("gram", "tok").join(t, "tok").select("item_id", "doc_id", "pos"), 20)
+
+
+@query(f"WITH {_SPOTS} SELECT item_id, doc_id, pos::BIGINT AS pos, weight::BIGINT AS weight FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY weight DESC, pos) AS k FROM r) WHERE k = 1")
+def best_chunk(spark, d):
+    return _chunks(spark, d).filter("rank = 1").drop("rank")
+
+
+@query("WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS x, (o_orderkey % 7 + 1)::INT AS wd FROM orders), a AS (SELECT *, ((wd - isodow(x)) % 7 + 7) % 7 AS ahead FROM o) SELECT o_orderkey, (x + (CASE WHEN ahead = 0 THEN 7 ELSE ahead END)::INT)::DATE AS next_day, (x - (CASE WHEN ahead = 0 THEN 7 ELSE 7 - ahead END)::INT)::DATE AS last_day, (x + (wd - isodow(x))::INT)::DATE AS this_day FROM a")
+def weekday_dates(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("x"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("wd"))
+    day = lambda f: V.mk_wday(F.lit(f), F.col("wd"), F.col("x"))
+    return o.select("o_orderkey", day(1).alias("next_day"), day(-1).alias("last_day"), day(0).alias("this_day"))

@@ -39,3 +39,66 @@ def text_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool
 def plain_html(html: Column) -> Column:
     """Markup off, by tags."""
     return F.regexp_replace(html, "<[^>]*>", "")
+
+
+def entity_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(cls, sub, id, relevance, name) of <entlist c= s=><e i= r= n=><n>name</n>..</e>..</entlist>, a row per name.
+
+    An entity's own class comes before that of its list; an entity without names has one row with a null name.
+    """
+    entity = "_c:int,_s:int,_i:string,_r:int,_n:string,n:array<string>"
+    raw = spark.read.format("xml").option("rowTag", "entlist").schema(f"_c int, _s int, e array<struct<{entity}>>").load(path)
+    one = raw.select(F.col("_c").alias("c"), F.col("_s").alias("s"), F.explode("e").alias("e"))
+    names = F.array_compact(F.concat(F.array("e._n"), F.coalesce("e.n", F.array().cast("array<string>"))))
+    out = one.select(F.coalesce("e._c", "c").alias("cls"), F.coalesce("e._s", "s").alias("sub"), F.col("e._i").alias("id"), F.coalesce("e._r", F.lit(0)).alias("relevance"), names.alias("ns"))
+    return out.select("cls", "sub", "id", "relevance", F.explode_outer("ns").alias("name"))
+
+
+def link_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(cls, sub, id, doc, weight) of <E c= s= i= w=><D i= w=/>..</E>: a document's weight, else its entity's, else 1."""
+    raw = spark.read.format("xml").option("rowTag", "E").schema("_c int, _s int, _i string, _w double, D array<struct<_i:string,_w:double,_VALUE:string>>").load(path)
+    one = raw.select(F.col("_c").alias("cls"), F.col("_s").alias("sub"), F.col("_i").alias("id"), "_w", F.explode("D").alias("d"))
+    return one.select("cls", "sub", "id", F.col("d._i").alias("doc"), F.coalesce("d._w", "_w", F.lit(1.0)).alias("weight"))
+
+
+def formatted_file(spark: SparkSession, path: str, layout: str, sep: str = "\t") -> DataFrame:
+    """Delimited entities by a layout such as `id=0;name=2;relevance=1`: name of the column and its place from 0."""
+    places = {k.strip(): int(v) for k, v in (x.split("=") for x in layout.split(";") if x.strip())}
+    fields = [f"c{i} string" for i in range(max(places.values()) + 1)]
+    raw = spark.read.schema(", ".join(fields)).csv(path, sep=sep, comment="#", quote="")
+    out = raw.select(*[F.col(f"c{i}").alias(k) for k, i in places.items()])
+    return out.withColumn("relevance", F.coalesce(F.expr("try_cast(relevance AS int)"), F.lit(0))) if "relevance" in places else out
+
+
+def content_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((doc, text), (doc, kind, value)) of C_BEGIN|id, lines of text, C_END|id, and TITLE|, POP.WEIGHT|, DOC_TAGID| lines.
+
+    The reader cuts the file at C_BEGIN|, so that blocks are read in parallel and no order over lines is needed.
+    """
+    blocks = spark.read.option("lineSep", "C_BEGIN|").text(path)
+    parts = blocks.select(F.regexp_extract("value", r"^([^\n|]*)\n", 1).alias("doc"), "value")
+    body = F.regexp_extract("value", r"(?s)^[^\n]*\n(.*?)\n?C_END\|", 1)
+    texts = parts.filter(F.col("value").contains("C_END|")).select("doc", body.alias("text"))
+    rest = F.when(F.col("value").contains("C_END|"), F.substring_index("value", "C_END|", -1)).otherwise(F.col("value"))
+    lines = parts.select(F.explode(F.split(rest, "\n")).alias("line")).select(F.split("line", r"\|", 3).alias("p"))
+    kinds = {"TITLE": "title", "POP.WEIGHT": "weight", "DOC_TAGID": "tag"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("p")[0])
+    return texts, lines.filter((F.size("p") == 3) & F.col("p")[0].isin(*kinds)).select(F.col("p")[1].alias("doc"), kind.alias("kind"), F.trim(F.col("p")[2]).alias("value"))
+
+
+def word_list(spark: SparkSession, path: str) -> DataFrame:
+    """(word, freq): a word per line, with a frequency behind it or 1."""
+    w = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).filter(F.trim("value") != "").select(F.lower(w[0]).alias("word"), F.coalesce(F.expr(r"try_cast(get(split(trim(value), '\\s+'), 1) AS long)"), F.lit(1)).alias("freq")).groupBy("word").agg(F.sum("freq").alias("freq"))
+
+
+#: Character references that texts hold most.
+REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&amp;": "&"}
+
+
+def html_content(html: Column) -> Column:
+    """Text outside of tags, scripts, styles and comments; references resolved, the ampersand last."""
+    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", "")
+    for k, v in REFERENCES.items():
+        out = F.replace(out, F.lit(k), F.lit(v))
+    return out
