@@ -246,3 +246,14 @@ def test_null_and_repeated_ids(spark, run):
     rows = [(None, "a b c d e f g h " * 30), (1, "a b c d e f g h " * 30), (1, "a b c d e f g h " * 30), (None, None)]
     out = run(_frame(spark, rows)).toPandas()
     assert len(out) == 4 and pd.isna(out["doc_id"]).sum() == 2
+
+
+def test_queries_against_a_tree_give_a_forest():
+    import numpy as np
+
+    sets = [np.stack([np.zeros(40, np.uint64), np.array(sorted({*range(40)} - {k} | {100 + k}), np.uint64)], 1) for k in range(30)]
+    links = jaccard.tree_links(np.arange(30), sets, np.arange(30) < 20)
+    joined = {0}
+    for _ in range(30):
+        joined |= {x for ab in links if joined & set(ab) for x in ab}
+    assert len(links) == 29 and joined == set(range(30))
