@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and repeated rows, ties and long texts."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -8,7 +9,7 @@ import zlib
 import pandas as pd
 import pytest
 
-from textloom.llm import chat, components, decontaminate, jaccard, media, mixing, ngram, pii, quality, suffixes, toxicity
+from textloom.llm import chat, common, components, decontaminate, jaccard, media, mixing, ngram, pii, quality, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b + c for a in ("ka", "lo", "mi", "ru", "se") for b in ("n", "r", "t") for c in ("a", "eo", "ul")]
@@ -64,6 +65,30 @@ def test_jaccard_components(spark, docs, table):
     assert kept.columns == table.columns
 
 
+def test_results_do_not_depend_on_slots(spark, docs, table, monkeypatch):
+    want = {r.doc_id for r in jaccard.one_of_each(table).collect()}
+    monkeypatch.setattr(jaccard, "SLOTS", 64)  # nearly every slot holds ids of both kinds
+    extra = _frame(spark, [(None, docs[0][1]), (docs[3][0], docs[3][1])])
+    kept = jaccard.one_of_each(table.unionByName(extra)).collect()
+    assert {r.doc_id for r in kept} == want | {None} and len(kept) == len(want) + 1
+
+
+def test_discard_keeps_inputs(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "textloom-input"))
+    given = spark.read.parquet(str(tmp_path / "textloom-input"))
+    made = common.materialize(given, "test")
+    folder = made.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    common.discard(given, made)
+    assert given.count() == 5 and not os.path.exists(folder)
+
+
+def test_bitmap(spark):
+    packed = common.bitmap(spark.range(50).withColumnRenamed("id", "doc_id"), 1 << 12)
+    slots = spark.range(1000).withColumnRenamed("id", "doc_id").select(common.slot_of(1 << 12).alias("s")).toPandas()["s"].to_numpy()
+    hit = common.in_bitmap(packed, slots)
+    assert hit[:50].all() and hit.sum() == len([s for s in slots if s in set(slots[:50])])
+
+
 def test_tree_equals_pairs():
     import numpy as np
 

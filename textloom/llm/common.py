@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,40 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes the tables under frames that materialize wrote and that nothing reads any more.
+
+    Only folders of materialize are touched, never an input.  Their successors must have been written before, so that
+    a lost executor never needs them.
+    """
+    for df in frames:
+        spark = df.sparkSession
+        jvm, own = spark.sparkContext._jvm, f"{scratch_dir(spark).rstrip('/')}/textloom-"
+        plain = lambda path: path.split(":", 1)[-1].replace("///", "/")  # noqa: E731  file:/a and file:///a are one
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if plain(folder).startswith(plain(own)):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slot_of(bits: int, col: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(bits))
+
+
+def bitmap(ids: DataFrame, bits: int, col: str = "doc_id") -> np.ndarray:
+    """Packed bitmap over hashed ids, of a fixed size of bits / 8 bytes: bit slot_of(id) is set for every id."""
+    slots = ids.select(slot_of(bits, col).alias("s"))
+    word = F.floor(F.col("s") / 64).cast("int").alias("w")
+    got = slots.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int"))).alias("v")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got.column("w").to_numpy()] = got.column("v").to_numpy()
+    return out.view(np.uint8)
+
+
+def in_bitmap(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return ((packed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def whole_text(col: str = "text") -> Column:
     """Null is the empty text."""
     return F.coalesce(F.col(col), F.lit(""))
