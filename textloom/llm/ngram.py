@@ -7,9 +7,10 @@ table leaves the cluster's shuffle.  Word pairs are counted in the same shuffle.
 Model: quantised logarithmic counts of words and of word pairs are held in two Bloom filters: a key of level q is
 entered as (key, 1) ... (key, q), and a count is read back by probing levels until one is missing.  The probability of
 a token interpolates the pair's relative frequency with the add-half word probability; the weights by frequency of the
-previous word come from deleted interpolation.  Pairs seen once say nothing under leaving-one-out and are not entered.
-The filters are broadcast; together they have at most FILTER_BITS bits.  Where more pairs were seen than fit, the
-least count that is entered rises (as in any pruned model); `base_score` never depends on the filters.
+previous word come from deleted interpolation.  All words and pairs are entered, those seen once included.  A filter
+has as many bits as its counted entries need.  At most RANGE_BITS bits of each are broadcast at once: a larger filter
+is cut into hash ranges, and the texts are passed once for each choice of ranges; a pass scores the tokens whose words
+and pair are in its ranges, and a text's score is the sum over the passes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 from itertools import count as counter
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import bucket_count, fold_of, materialize, small_batches, text_bytes, whole_text
 from .words import WordHasher
 
-FILTER_BITS = 1 << 29
+RANGE_BITS = 1 << 28  # of a filter that are broadcast at once
 BITS_PER_ENTRY = 10
 HASHES = 3
 BUCKET_BYTES = 24e6
@@ -49,7 +52,7 @@ def _thresholds(ratio: float, first: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-WORD_LEVELS, PAIR_LEVELS = _thresholds(1.15, 1), _thresholds(1.4, 2)
+WORD_LEVELS, PAIR_LEVELS = _thresholds(1.15, 1), _thresholds(1.4, 1)
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -164,8 +167,7 @@ def _count(buckets: int):
             h, c = h[order], c[order].astype(np.int64)
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             c = np.add.reduceat(c, first)
-            keep = c >= PAIR_LEVELS[0]
-            return pd.DataFrame([("pairs", bucket - buckets, int(keep.sum()), len(first), h[first][keep].tobytes(), c[keep].tobytes())], columns=cols).assign(d=b"")
+            return pd.DataFrame([("pairs", bucket - buckets, len(first), 0, h[first].tobytes(), c.tobytes())], columns=cols).assign(d=b"")
         hashes = [np.frombuffer(x, np.uint64) for x in pdf["a"]]
         h, index = np.unique(np.concatenate(hashes), return_inverse=True)
         cuts = np.cumsum([len(x) for x in hashes])[:-1]
@@ -203,13 +205,18 @@ def _finish(log_z: float):
 
 @dataclass
 class BloomCounts:
-    """Quantised counts of 64-bit keys."""
+    """Quantised counts of 64-bit keys: of those in one of equal hash ranges."""
 
     bits: np.ndarray  # of uint8, a power of two long
     levels: np.ndarray
+    number: int = 0
+    ranges: int = 1  # a power of two
 
     def _places(self, keys: np.ndarray, level: int):
-        return _places(keys, level, len(self.bits) * 8)
+        return _places(keys, level, len(self.bits) * 8, self.ranges)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        return _range_of(keys, self.ranges) == self.number
 
     def level_of(self, keys: np.ndarray) -> np.ndarray:
         """Levels by repeated probes: 0 for a key that was never entered (but for rare chance hits)."""
@@ -231,14 +238,18 @@ class BloomCounts:
         return np.append(0.0, np.sqrt(lo * hi.astype(float)))[level]
 
 
-def _places(keys: np.ndarray, level: int, bits: int):
-    """A key keeps its top bits' share of the filter, so that the filter of a hash range is a slice of the whole."""
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return (keys >> np.uint64(1)) >> np.uint64(64 - ranges.bit_length())  # two steps: one range shifts by 64
+
+
+def _places(keys: np.ndarray, level: int, bits: int, ranges: int = 1):
+    """In the filter of its range, a key keeps to the slice of its next bits, so that a bucket fills few slices."""
     x = (keys ^ np.uint64((level * 0xD6E8FEB86659FD93) & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     a, b = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
     slice_ = np.uint64(max(1, bits // SLICES))
-    base = (keys >> np.uint64(64 - SLICES.bit_length() + 1)) * slice_
+    base = ((keys << np.uint64(ranges.bit_length() - 1)) >> np.uint64(64 - SLICES.bit_length() + 1)) * slice_
     for k in range(HASHES):
         yield base + ((a + np.uint64(k) * b) & (slice_ - np.uint64(1)))
 
@@ -246,8 +257,8 @@ def _places(keys: np.ndarray, level: int, bits: int):
 SLICES = 256  # equal hash ranges of a filter; buckets are unions or parts of them
 
 
-def _filter(parts: DataFrame, kind: str, levels: np.ndarray, most_bits: int) -> BloomCounts:
-    """Builds a filter from the counted buckets; the driver gets the histogram of levels, then the bits."""
+def _size(parts: DataFrame, kind: str, levels: np.ndarray) -> tuple[int, int]:
+    """(bits of one range, ranges) of a filter that all counted keys enter, from the histogram of their levels."""
 
     def levels_of(batches):
         for b in batches:
@@ -256,26 +267,26 @@ def _filter(parts: DataFrame, kind: str, levels: np.ndarray, most_bits: int) ->
                 total += np.bincount(np.searchsorted(levels, np.frombuffer(x, np.int64), side="right"), minlength=len(levels) + 1)
             yield pd.DataFrame({"level": np.arange(len(total)), "n": total})
 
-    mine = parts.filter(F.col("kind") == kind).select("a", "b")
-    hist = np.zeros(len(levels) + 1, np.int64)
-    for r in mine.select("b").mapInPandas(levels_of, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
-        hist[r["level"]] = r["n"]
-    lowest = 1  # the least level that is entered
-    entries = lambda low: int(sum(hist[q] * (q - low + 1) for q in range(low, len(hist))))
-    while entries(lowest) * BITS_PER_ENTRY > most_bits and lowest < len(levels):
-        lowest += 1
-    bits = 1 << max(14, min(most_bits.bit_length() - 1, math.ceil(math.log2(max(1, entries(lowest) * BITS_PER_ENTRY)))))
-    kept = levels[lowest - 1 :]
+    got = parts.filter(F.col("kind") == kind).select("b").mapInPandas(levels_of, "level int, n long")
+    entries = int(got.agg(F.sum(F.col("level") * F.col("n")).alias("n")).first()["n"] or 0)
+    bits = 1 << max(14, math.ceil(math.log2(max(1, entries * BITS_PER_ENTRY))))
+    return min(bits, RANGE_BITS), max(1, bits // RANGE_BITS)
+
+
+def _filter(parts: DataFrame, kind: str, levels: np.ndarray, buckets: int, bits: int, number: int, ranges: int) -> BloomCounts:
+    """Builds the filter of one hash range from the counted buckets."""
 
     def fill(batches):
         for b in batches:
             out = {}
             for a, c in zip(b["a"], b["b"], strict=True):
-                keys, level = np.frombuffer(a, np.uint64), np.searchsorted(kept, np.frombuffer(c, np.int64), side="right")
+                keys, level = np.frombuffer(a, np.uint64), np.searchsorted(levels, np.frombuffer(c, np.int64), side="right")
+                mine = _range_of(keys, ranges) == number
+                keys, level = keys[mine], level[mine]
                 q = 1
                 while len(keys := keys[level >= q]):
                     level = level[level >= q]
-                    for p in _places(keys, q, bits):
+                    for p in _places(keys, q, bits, ranges):
                         size = max(8, bits // SLICES)
                         for s in np.unique(p // np.uint64(size)).tolist():
                             mask = out.setdefault(s, np.zeros(size, bool))
@@ -283,22 +294,26 @@ def _filter(parts: DataFrame, kind: str, levels: np.ndarray, most_bits: int) ->
                     q += 1
             yield pd.DataFrame([(s, np.packbits(m, bitorder="little").tobytes()) for s, m in out.items()], columns=["slice", "bits"])
 
+    held = F.col("block").between(number * buckets // ranges, ((number + 1) * buckets - 1) // ranges)
     whole = np.zeros(bits // 8, np.uint8)
     size = max(8, bits // SLICES) // 8
-    for r in mine.mapInPandas(fill, "slice long, bits binary").toLocalIterator():
+    for r in parts.filter((F.col("kind") == kind) & held).select("a", "b").mapInPandas(fill, "slice long, bits binary").toLocalIterator():
         whole[r["slice"] * size : (r["slice"] + 1) * size] |= np.frombuffer(r["bits"], np.uint8)
-    return BloomCounts(whole, kept)
+    return BloomCounts(whole, levels, number, ranges)
 
 
 @dataclass
 class NgramModel:
+    """For the tokens whose previous word, word and pair are in the ranges of the three filters."""
+
+    before: BloomCounts
     words: BloomCounts
     pairs: BloomCounts
     log_z: float
     weights: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
 
     def terms(self, texts: list[str], hasher: WordHasher):
-        """For all tokens of the texts in one array: (tokens by text, p_word, pair's count, class and count before)."""
+        """For the tokens of the ranges in one array: (number of the text, p_word, pair's count, class and count before)."""
         words, counts = hasher.words(texts)
         size = counts + 1
         ends = size.cumsum() - 1
@@ -311,23 +326,27 @@ class NgramModel:
         later[ends - size + 1] = False
         before[later] = now[np.flatnonzero(later) - 1]
         u, index = np.unique(now, return_inverse=True)
+        last = np.full(len(now), np.searchsorted(u, np.uint64(END)))  # one start for each end
+        last[later] = index[np.flatnonzero(later) - 1]
+        owner, pair = np.repeat(np.arange(len(texts)), size), pair_hash(before, now)
+        if self.words.ranges * self.pairs.ranges > 1:
+            mine = self.before.holds(u)[last] & self.words.holds(u)[index] & self.pairs.holds(pair)
+            owner, pair, index, last = owner[mine], pair[mine], index[mine], last[mine]
         level = self.words.counts(self.words.level_of(u))
         count = level[index]
-        previous = np.empty(len(now))
-        previous[later] = count[np.flatnonzero(later) - 1]
-        previous[~later] = self.words.counts(self.words.level_of(np.array([END], np.uint64)))[0]  # one start for each end
-        together = self.pairs.counts(self.pairs.level_of(pair_hash(before, now)))
+        previous = (level if self.before.number == self.words.number else self.before.counts(self.before.level_of(u)))[last]
+        together = self.pairs.counts(self.pairs.level_of(pair))
         together[previous < 1] = 0
         group = np.clip(np.log2(np.maximum(previous, 1)).astype(int), 0, CLASSES - 1)
-        return size, (count + 0.5) / 10**self.log_z, np.minimum(together, previous), group, previous
+        return owner, (count + 0.5) / 10**self.log_z, np.minimum(together, previous), group, previous
 
     def scores(self, texts: list[str], hasher: WordHasher) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        size, word, together, group, previous = self.terms(texts, hasher)
+        owner, word, together, group, previous = self.terms(texts, hasher)
         w = np.where(previous >= 1, self.weights[group], 0.0)
         p = (1 - w) * word + w * together / np.maximum(previous, 1)
-        return np.add.reduceat(np.log10(p), size.cumsum() - size)
+        return np.bincount(owner, np.log10(p), len(texts))
 
 
 def _groups_of(texts: list[str], most: int = 1_000_000):
@@ -342,11 +361,11 @@ def _groups_of(texts: list[str], most: int = 1_000_000):
         yield texts[start:]
 
 
-def _tune(opened, sample: DataFrame) -> np.ndarray:
-    """Deleted interpolation: weights by class of the previous word's count, from a histogram of odds."""
+def _tune(passes, sample: DataFrame) -> np.ndarray:
+    """Deleted interpolation: weights by class of the previous word's count, from a histogram of odds over the passes."""
     bins, step = 160, 0.25
 
-    def run(batches):
+    def run(batches, opened):
         hasher, model = WordHasher(), opened(np.zeros(CLASSES))
         hist = np.zeros((CLASSES, bins + 1), np.int64)
         for b in batches:
@@ -355,13 +374,15 @@ def _tune(opened, sample: DataFrame) -> np.ndarray:
                 ok = previous >= 1.5
                 left = np.maximum(together[ok] - 1, 0) / np.maximum(previous[ok] - 1, 1)
                 k = np.where(left > 0, np.clip(np.round(np.log2(np.maximum(left, 1e-30) / word[ok]) / step) + bins // 2, 1, bins), 0).astype(int)
-                np.add.at(hist, (group[ok], k), 1)
+                hist += np.bincount(group[ok] * (bins + 1) + k, minlength=hist.size).reshape(hist.shape)
         g, k = np.nonzero(hist)
         yield pd.DataFrame({"g": g, "k": k, "n": hist[g, k]})
 
     hist = np.zeros((CLASSES, bins + 1))
-    for r in sample.mapInPandas(run, "g int, k int, n long").groupBy("g", "k").agg(F.sum("n").alias("n")).collect():
-        hist[r["g"], r["k"]] = r["n"]
+    for opened in passes():
+        found = sample.mapInPandas(lambda batches, opened=opened: run(batches, opened), "g int, k int, n long")
+        for r in found.groupBy("g", "k").agg(F.sum("n").alias("n")).collect():
+            hist[r["g"], r["k"]] += r["n"]
     odds = np.append(0.0, 2.0 ** ((np.arange(1, bins + 1) - bins // 2) * step))
     w = np.full(CLASSES, 0.1)
     for _ in range(60):
@@ -386,23 +407,36 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     n, v = int(total["n"] or 0), int(total["v"] or 0)
     log_z = math.log10(n + 0.5 * (v + 1))
     base = parts.filter("kind IN ('list', 'docs')").groupBy("block").applyInPandas(_finish(log_z), "doc long, key long, n_tokens long, n_known long, base_score double")
-    words, pairs = _filter(parts, "words", WORD_LEVELS, FILTER_BITS // 2), _filter(parts, "pairs", PAIR_LEVELS, FILTER_BITS // 2)
-    sent = documents.sparkSession.sparkContext.broadcast((words.bits, words.levels, pairs.bits, pairs.levels))
-
-    def opened(weights: np.ndarray) -> NgramModel:
-        x = sent.value
-        return NgramModel(BloomCounts(x[0], x[1]), BloomCounts(x[2], x[3]), log_z, weights)
+    (word_bits, word_ranges), (pair_bits, pair_ranges) = _size(parts, "words", WORD_LEVELS), _size(parts, "pairs", PAIR_LEVELS)
+    words_of = lru_cache(2)(lambda k: _filter(parts, "words", WORD_LEVELS, buckets, word_bits, k, word_ranges))
+    last: list = []
+
+    def passes():
+        """For each choice of ranges in turn, what opens its model in a task; the filters of the pass before go."""
+        for i, j, k in product(range(word_ranges), range(word_ranges), range(pair_ranges)):
+            if not last or last[0] != (i, j, k):
+                if last:
+                    last.pop().destroy()
+                filters = words_of(i), words_of(j), _filter(parts, "pairs", PAIR_LEVELS, buckets, pair_bits, k, pair_ranges)
+                last[:] = [(i, j, k), documents.sparkSession.sparkContext.broadcast(filters)]
+            yield lambda weights, sent=last[1]: NgramModel(*sent.value, log_z, weights)
 
     keyed = _keyed(docs)
     step = max(1, docs.count() // TUNE_DOCS)
-    weights = _tune(opened, keyed.filter(F.col("train") & (F.pmod(F.xxhash64("doc"), F.lit(step)) == 0)).select("text"))
+    weights = _tune(passes, keyed.filter(F.col("train") & (F.pmod(F.xxhash64("doc"), F.lit(step)) == 0)).select("text"))
 
-    def run(batches):
+    def run(batches, opened):
         hasher, model = WordHasher(), opened(weights)
         for b in batches:
             found = [model.scores(group, hasher) for group in _groups_of(list(b["text"]))]
             yield pd.DataFrame({"doc": b["doc"], "key": b["key"], "held_out": ~b["train"], "score": np.concatenate([np.zeros(0), *found])})
 
-    scored = keyed.mapInPandas(run, "doc long, key long, held_out boolean, score double")
+    several, done = word_ranges * pair_ranges > 1, []
+    for opened in passes():
+        scored = keyed.mapInPandas(lambda batches, opened=opened: run(batches, opened), "doc long, key long, held_out boolean, score double")
+        done.append(materialize(scored, "ngram-pass") if several else scored)
+    if several:  # each pass has every row; rows of one doc and key are alike
+        total = reduce(DataFrame.unionByName, done).groupBy("doc", "key").agg((F.avg("score") * len(done)).alias("score"))
+        scored = done[0].drop("score").join(total, ["doc", "key"])
     out = scored.join(base.dropDuplicates(["doc", "key"]), ["doc", "key"])
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
