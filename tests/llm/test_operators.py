@@ -186,6 +186,15 @@ def test_language_model_keeps_all_counts(spark, monkeypatch, bits):
     assert (samples[0] > 0).any()
 
 
+def test_weights_come_from_all_training_documents(spark, monkeypatch):
+    import numpy as np
+
+    seen = []
+    monkeypatch.setattr(ngram, "_tune", lambda _, training: (seen.append(training.count()), np.zeros(ngram.CLASSES))[1])
+    ngram.lm_scores(_frame(spark, [(i, f"a b {i % 7}") for i in range(6_500)]))
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(6_500))]
+
+
 def test_bloom_counts_round_trip():
     import numpy as np
 

@@ -37,7 +37,6 @@ BITS_PER_ENTRY = 10
 HASHES = 3
 BUCKET_BYTES = 24e6
 FLUSH_TOKENS = 3_000_000
-TUNE_DOCS = 3_000  # about so many training documents give the interpolation weights
 END = xxhash.xxh3_64_intdigest(b"\x20end")
 START = xxhash.xxh3_64_intdigest(b"\x20start")
 CLASSES = 40
@@ -361,7 +360,7 @@ def _groups_of(texts: list[str], most: int = 1_000_000):
         yield texts[start:]
 
 
-def _tune(passes, sample: DataFrame) -> np.ndarray:
+def _tune(passes, training: DataFrame) -> np.ndarray:
     """Deleted interpolation: weights by class of the previous word's count, from a histogram of odds over the passes."""
     bins, step = 160, 0.25
 
@@ -380,7 +379,7 @@ def _tune(passes, sample: DataFrame) -> np.ndarray:
 
     hist = np.zeros((CLASSES, bins + 1))
     for opened in passes():
-        found = sample.mapInPandas(lambda batches, opened=opened: run(batches, opened), "g int, k int, n long")
+        found = training.mapInPandas(lambda batches, opened=opened: run(batches, opened), "g int, k int, n long")
         for r in found.groupBy("g", "k").agg(F.sum("n").alias("n")).collect():
             hist[r["g"], r["k"]] += r["n"]
     odds = np.append(0.0, 2.0 ** ((np.arange(1, bins + 1) - bins // 2) * step))
@@ -422,8 +421,7 @@ def lm_scores(documents: DataFrame) -> DataFrame:
             yield lambda weights, sent=last[1]: NgramModel(*sent.value, log_z, weights)
 
     keyed = _keyed(docs)
-    step = max(1, docs.count() // TUNE_DOCS)
-    weights = _tune(passes, keyed.filter(F.col("train") & (F.pmod(F.xxhash64("doc"), F.lit(step)) == 0)).select("text"))
+    weights = _tune(passes, keyed.filter("train").select("text"))
 
     def run(batches, opened):
         hasher, model = WordHasher(), opened(weights)
