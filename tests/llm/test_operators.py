@@ -225,6 +225,21 @@ def test_pii_patterns_find_new_identifiers(spark):
     assert spans[99].startswith("ctx:12:") and spans[98] == ""
 
 
+def test_pii_patterns_are_rated_over_all_instances(spark):
+    mails = [(i, f"write me at u{i}@x.org now") for i in range(9)]
+    codes = [(100 + i, f"meet q{chr(97 + i % 26)}{chr(97 + i // 26)} at QX-{77000 + i}-4 now") for i in range(300)]
+    spans = {r.doc_id: r.spans for r in pii.pii(_frame(spark, [*mails, *codes])).collect()}
+    assert all(spans[i] == "" for i, _ in codes) and all(spans[i].startswith("email:") for i, _ in mails)
+
+
+def test_pii_patterns_spread_from_found_identifiers(spark):
+    rows = [(i, f"badge id u{i}@x.org now") for i in range(40)]
+    rows += [(100 + i, f"badge id QX-{77000 + i}-4 now") for i in range(6)]
+    rows += [(200 + i, f"pass no QX-{77000 + i}-4 now") for i in range(6)] + [(300, "pass no ZK-55123-9 now")]
+    spans = {r.doc_id: r.spans for r in pii.pii(_frame(spark, rows)).collect()}
+    assert spans[100].startswith("ctx:9:") and spans[300].startswith("ctx:8:")
+
+
 def test_media_round_trip(docs, table):
     for r in media.media_columns(table).collect():
         b = ({i: t for i, t in docs}[r.doc_id] or "").encode()

@@ -120,19 +120,24 @@ def graph_edges(documents: DataFrame) -> DataFrame:
 
 
 def learn_patterns(documents: DataFrame, rounds: int = ROUNDS) -> list[tuple[str, float]]:
-    """Patterns of at least SUPPORT instances, scored on the graph: (pattern, confidence), at most PATTERNS_MOST."""
+    """Patterns scored on the graph: (pattern, confidence), at most PATTERNS_MOST.
+
+    A pattern is rated over all its instances, those of score 0 included.  Its support is of accepted instances: seeds,
+    and in later rounds also instances that patterns of the rounds before mark with confidence.
+    """
     edges = graph_edges(documents)
-    able = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("s")).filter((F.col("n") >= SUPPORT) & (F.col("s") >= SUPPORT))
+    able = edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
     edges = materialize(edges.join(able.select("pattern"), "pattern", "left_semi"), "pii-graph")
     scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for _ in range(rounds):
-        rated = edges.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(0.5))).alias("confidence"), F.count("*").alias("n"))
+        accepted = F.sum((F.col("score") >= CONFIDENCE).cast("int"))
+        known = edges.join(scores, "instance", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        rated = known.groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(0.5))).alias("confidence"), F.count("*").alias("n"), accepted.alias("accepted")).filter(F.col("accepted") >= SUPPORT)
         told = edges.join(rated.filter(F.col("confidence") >= CONFIDENCE / 2), "pattern")
-        by_pattern = told.groupBy("instance").agg(
-            F.max("seed").alias("seed"),
-            (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("noisy_or"),
-        )
-        scores = materialize(by_pattern.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("noisy_or")).alias("score")), "pii-scores")
+        by_pattern = told.groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("noisy_or"))
+        seeds = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
+        found = seeds.join(by_pattern, "instance", "left")
+        scores = materialize(found.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("noisy_or", F.lit(0.0))).alias("score")), "pii-scores")
     best = rated.filter(F.col("confidence") >= CONFIDENCE).orderBy(F.desc("confidence"), F.desc("n"), "pattern").limit(PATTERNS_MOST)
     return [(r["pattern"], r["confidence"]) for r in best.collect()]
 
