@@ -240,6 +240,19 @@ def test_pii_patterns_spread_from_found_identifiers(spark):
     assert spans[100].startswith("ctx:9:") and spans[300].startswith("ctx:8:")
 
 
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_pii_applies_all_patterns(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "PATTERNS_MOST", 3, raising=False)
+    monkeypatch.setattr(pii, "PATTERN_BYTES", most, raising=False)
+    names = [chr(97 + k) * 4 for k in range(8)]
+    rows = [(100 * k + i, f"{w} {w} u{i}@x.org now") for k, w in enumerate(names) for i in range(9)]
+    rows += [(100 * k + 50, f"{w} {w} QX-77123-{k} now") for k, w in enumerate(names)] + [(None, None)]
+    spans = {r.doc_id: r.spans for r in pii.pii(_frame(spark, rows)).collect()}
+    assert len(spans) == len(rows) and all(spans[100 * k + 50] == "ctx:10:20" for k in range(8))
+    texts = {r.doc_id: r.text for r in pii.redacted(_frame(spark, rows)).collect()}
+    assert all(texts[100 * k + 50] == f"{w} {w} [CTX] now" for k, w in enumerate(names)) and texts[None] is None
+
+
 def test_media_round_trip(docs, table):
     for r in media.media_columns(table).collect():
         b = ({i: t for i, t in docs}[r.doc_id] or "").encode()

@@ -27,7 +27,7 @@ _DIGIT = re.compile(r"[0-9]")
 #: A word that may be an identifier: at least six letters, digits or marks, with three digits among them.
 _WORD = re.compile(r"[^\s]+")
 _IDENT = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.@:/+-]{4,}[A-Za-z0-9]")
-PATTERNS_MOST = 5_000  # broadcast; ordered by confidence, support and text
+PATTERN_BYTES = 4_000_000  # of patterns that go with a task's closure; more are joined with the candidate places
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
 
 
@@ -119,8 +119,8 @@ def graph_edges(documents: DataFrame) -> DataFrame:
     return found.groupBy("pattern", F.xxhash64("instance").alias("instance")).agg(F.max("seed").alias("seed"))
 
 
-def learn_patterns(documents: DataFrame, rounds: int = ROUNDS) -> list[tuple[str, float]]:
-    """Patterns scored on the graph: (pattern, confidence), at most PATTERNS_MOST.
+def learn_patterns(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """All patterns that reach CONFIDENCE on the graph: (pattern, confidence).
 
     A pattern is rated over all its instances, those of score 0 included.  Its support is of accepted instances: seeds,
     and in later rounds also instances that patterns of the rounds before mark with confidence.
@@ -138,12 +138,32 @@ def learn_patterns(documents: DataFrame, rounds: int = ROUNDS) -> list[tuple[str
         seeds = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
         found = seeds.join(by_pattern, "instance", "left")
         scores = materialize(found.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("noisy_or", F.lit(0.0))).alias("score")), "pii-scores")
-    best = rated.filter(F.col("confidence") >= CONFIDENCE).orderBy(F.desc("confidence"), F.desc("n"), "pattern").limit(PATTERNS_MOST)
-    return [(r["pattern"], r["confidence"]) for r in best.collect()]
+    return materialize(rated.filter(F.col("confidence") >= CONFIDENCE).select("pattern", "confidence"), "pii-patterns")
 
 
-def spans_of(text: str, patterns: frozenset[str]) -> list[tuple[str, int, int]]:
+def _with_places(documents: DataFrame, patterns: DataFrame) -> tuple[DataFrame, frozenset[str] | None]:
+    """documents with `_ctx`, and the patterns for spans_of; where they are too many, None, and `_ctx` has the places."""
+    if (patterns.agg(F.sum(F.octet_length("pattern")).alias("b")).first()["b"] or 0) <= PATTERN_BYTES:
+        return documents.withColumn("_ctx", F.lit(None).cast("string")), frozenset(r["pattern"] for r in patterns.select("pattern").collect())
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for key, text in zip(b["_key"].tolist(), b["text"], strict=True):
+                if _DIGIT.search(text):
+                    rows += [(key, f"{s}:{e}", p) for s, e in _candidates(text, base_spans(text)) for p in _patterns(text, s)]
+            yield pd.DataFrame(rows, columns=["_key", "place", "pattern"])
+
+    keyed = documents.withColumn("_key", F.xxhash64(whole_text()))
+    places = keyed.select("_key", whole_text().alias("text")).mapInPandas(run, "_key long, place string, pattern string")
+    found = places.join(patterns.select("pattern"), "pattern", "left_semi").groupBy("_key").agg(F.concat_ws(",", F.collect_set("place")).alias("_ctx"))
+    return keyed.join(found, "_key", "left").drop("_key"), None
+
+
+def spans_of(text: str, patterns: frozenset[str] | None, places: str | None = None) -> list[tuple[str, int, int]]:
     base = base_spans(text)
+    if patterns is None:
+        return base + [("ctx", a, b) for a, b in sorted(tuple(map(int, p.split(":"))) for p in (places or "").split(",") if p)]
     if not patterns or not _DIGIT.search(text):
         return base
     return base + [("ctx", a, b) for a, b in _candidates(text, base) if any(p in patterns for p in _patterns(text, a))]
@@ -164,17 +184,17 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[end:]])
 
 
-def find_spans(documents: DataFrame, patterns: list[tuple[str, float]], key: str = "doc_id") -> DataFrame:
+def find_spans(documents: DataFrame, patterns: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, kinds array, starts array, ends array) per row, spans in the order of KINDS, then start."""
-    known = frozenset(p for p, _ in patterns)
+    placed, known = _with_places(documents, patterns)
 
     def run(batches):
         for b in batches:
-            found = [spans_of(t, known) for t in b["text"]]
+            found = [spans_of(t, known, c) for t, c in zip(b["text"], b["_ctx"], strict=True)]
             yield pd.DataFrame({key: b[key], "kinds": [[k for k, _, _ in s] for s in found], "starts": [[a for _, a, _ in s] for s in found], "ends": [[e for _, _, e in s] for s in found]})
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, whole_text().alias("text")).mapInPandas(run, f"{key} {kind}, kinds array<string>, starts array<long>, ends array<long>")
+    return placed.select(key, whole_text().alias("text"), "_ctx").mapInPandas(run, f"{key} {kind}, kinds array<string>, starts array<long>, ends array<long>")
 
 
 def redacted(documents: DataFrame) -> DataFrame:
@@ -182,12 +202,12 @@ def redacted(documents: DataFrame) -> DataFrame:
 
     All other columns, null texts and repeated rows stay as they are.
     """
-    known = frozenset(p for p, _ in learn_patterns(documents))
+    placed, known = _with_places(documents, learn_patterns(documents))
 
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else redact(t, spans_of(t, known)) for t in texts], dtype=object)
+    def clean(texts: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else redact(t, spans_of(t, known, c)) for t, c in zip(texts, places, strict=True)], dtype=object)
 
-    out = documents.withColumn("text", F.pandas_udf(clean, "string")("text"))
+    out = placed.withColumn("text", F.pandas_udf(clean, "string")("text", "_ctx")).select(documents.columns)
     return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out
 
 
