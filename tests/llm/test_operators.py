@@ -284,6 +284,15 @@ def test_decontamination(spark, docs, table):
     assert kept.count() == len(docs) - 1 and kept.columns == table.columns
 
 
+def test_short_items_are_found():
+    items = {n: [f"q{n}w{k}" for k in range(n)] for n in range(1, 9)}
+    index = decontaminate.ItemIndex([(n, " ".join(w)) for n, w in items.items()])
+    rest = _text(random.Random(3), 20)
+    assert [set(x) for x in index.leaks([f"{rest} {' '.join(w)} {rest}" for w in items.values()])] == [{n} for n in items]
+    apart = [" ".join([*w[: -(-6 * len(w) // 10)], rest]) for n, w in items.items() if n > 2]
+    assert index.leaks(apart) == [{}] * len(apart)
+
+
 def test_wand_equals_full_scoring():
     rng = random.Random(4)
     index = decontaminate.ItemIndex([(i, _text(rng, 25)) for i in range(120)])

@@ -36,8 +36,8 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _grams(words: list[str]) -> set[tuple]:
-    n = min(3, len(words))
+def _grams(words: list[str], most: int = 3) -> set[tuple]:
+    n = min(most, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
 
 
@@ -190,9 +190,12 @@ class ItemIndex:
             if not hits:
                 continue
             a = (s - int(first[i])) * size
-            grams = _grams(words[i][a : a + size * (upto - s)])
+            passage, grams = words[i][a : a + size * (upto - s)], {}
             for k, score in hits:
-                question, answer = ((len(p & grams) / len(p) if p else 1.0) for p in self.parts[k])
+                # parts of fewer than three words have shorter grams
+                lengths = [len(next(iter(p), ())) for p in self.parts[k]]
+                grams |= {n: _grams(passage, n) for n in lengths if n and n not in grams}
+                question, answer = ((len(p & grams[n]) / len(p) if p else 1.0) for p, n in zip(self.parts[k], lengths, strict=True))
                 if question >= OVERLAP and answer >= OVERLAP:
                     old = out[i].get(self.ids[k])
                     new = (score, question, answer)
