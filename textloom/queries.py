@@ -450,14 +450,20 @@ def has_topics(spark, d):
 _SPOTS = _TOK + r", q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+|[0-9]+')) AS tok FROM benchmark WHERE item_id % 10 = 0), s AS (SELECT DISTINCT item_id, doc_id, pos FROM tok JOIN q USING (tok)), r AS (SELECT *, count(*) OVER (PARTITION BY item_id, doc_id ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS weight FROM s)"
 
 
-def _chunks(spark, d):
+def _chunks(spark, d, items="true"):
     t = X.tokens(_t(spark, d, "documents"))
-    return N.chunks(I.query_grams(_t(spark, d, "benchmark").filter("item_id % 10 = 0")).withColumnRenamed("gram", "tok").join(t, "tok").select("item_id", "doc_id", "pos"), 20)
+    return N.chunks(I.query_grams(_t(spark, d, "benchmark").filter(items)).withColumnRenamed("gram", "tok").join(t, "tok").select("item_id", "doc_id", "pos"), 20)
 
 
 @query(f"WITH {_SPOTS} SELECT item_id, doc_id, pos::BIGINT AS pos, weight::BIGINT AS weight FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY weight DESC, pos) AS k FROM r) WHERE k = 1")
 def best_chunk(spark, d):
-    return _chunks(spark, d).filter("rank = 1").drop("rank")
+    return _chunks(spark, d, "item_id % 10 = 0").filter("rank = 1").drop("rank")
+
+
+@query()
+def chunk_ranks(spark, d):
+    """All items and all places; best_chunk compares the first places of some items with SQL."""
+    return _chunks(spark, d)
 
 
 @query("WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS x, (o_orderkey % 7 + 1)::INT AS wd FROM orders), a AS (SELECT *, ((wd - isodow(x)) % 7 + 7) % 7 AS ahead FROM o) SELECT o_orderkey, (x + (CASE WHEN ahead = 0 THEN 7 ELSE ahead END)::INT)::DATE AS next_day, (x - (CASE WHEN ahead = 0 THEN 7 ELSE 7 - ahead END)::INT)::DATE AS last_day, (x + (wd - isodow(x))::INT)::DATE AS this_day FROM a")
