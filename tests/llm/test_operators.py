@@ -89,18 +89,6 @@ def test_bitmap(spark):
     assert hit[:50].all() and hit.sum() == len([s for s in slots if s in set(slots[:50])])
 
 
-def test_tree_equals_pairs():
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(30)]
-    sets += [np.unique(np.append(s[2:], 99).astype(np.uint64)) for s in sets[:10]]
-    pairs = [np.stack([np.zeros(len(s), np.uint64), s], 1) for s in sets]
-    links = jaccard.tree_links(np.arange(len(sets)), pairs, np.ones(len(sets), bool))
-    true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 4 * len(set(sets[i]) & set(sets[j])) >= 3 * len(set(sets[i]) | set(sets[j]))}
-    assert {tuple(sorted(x)) for x in links} == true
-
-
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
@@ -353,14 +341,3 @@ def test_null_and_repeated_ids(spark, run):
     rows = [(None, "a b c d e f g h " * 30), (1, "a b c d e f g h " * 30), (1, "a b c d e f g h " * 30), (None, None)]
     out = run(_frame(spark, rows)).toPandas()
     assert len(out) == 4 and pd.isna(out["doc_id"]).sum() == 2
-
-
-def test_queries_against_a_tree_give_a_forest():
-    import numpy as np
-
-    sets = [np.stack([np.zeros(40, np.uint64), np.array(sorted({*range(40)} - {k} | {100 + k}), np.uint64)], 1) for k in range(30)]
-    links = jaccard.tree_links(np.arange(30), sets, np.arange(30) < 20)
-    joined = {0}
-    for _ in range(30):
-        joined |= {x for ab in links if joined & set(ab) for x in ab}
-    assert len(links) == 29 and joined == set(range(30))
