@@ -124,78 +124,6 @@ def test_tuple_queue_spills():
     assert all(b[-1][0] < c[0][0] for b, c in zip(blocks, blocks[1:], strict=False))
 
 
-def test_language_model(docs, table):
-    from collections import Counter
-    from math import isclose, log10
-
-    tok = {i: (t or "").encode().lower().split() + [b" "] for i, t in docs}
-    c = Counter(w for i, ws in tok.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
-    n, z = sum(c.values()), log10(sum(c.values()) + 0.5 * (len(c) + 1))
-    for r in ngram.lm_scores(table).collect():
-        ws = tok[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
-        assert isclose(r.base_score, sum(log10(c[w] + 0.5) - z for w in ws), rel_tol=1e-9)
-        assert r.score < 0
-
-
-@pytest.mark.parametrize("bits", [1 << 28, 1 << 19])
-def test_language_model_keeps_all_counts(spark, monkeypatch, bits):
-    from collections import Counter
-
-    import numpy as np
-
-    docs = [(i, " ".join(f"w{i}x{k} the" if k % 9 == 0 else f"w{i}x{k}" for k in range(150)) + " the end of it") for i in range(6)]
-    docs += [(6, docs[0][1]), (7, None), (8, " ".join(docs[1][1].split()[::-1]))]
-    table = _frame(spark, docs)
-
-    tune, samples = ngram._tune, []
-    monkeypatch.setattr(ngram, "_tune", lambda *a: (samples.append(tune(*a)), np.full(ngram.CLASSES, 0.5))[1])
-    monkeypatch.setattr(ngram, "BITS_PER_ENTRY", 1024, raising=False)
-    monkeypatch.setattr(ngram, "RANGE_BITS", bits, raising=False)
-    monkeypatch.setattr(ngram, "FILTER_BITS", 2 * bits, raising=False)
-    tok = {i: (t or "").encode().lower().split() + [b" "] for i, t in docs}
-    train = [ws for i, ws in tok.items() if zlib.crc32(str(i).encode()) % 5 != 1]
-    c = Counter(w for ws in train for w in ws)
-    pairs = Counter(p for ws in train for p in zip([None, *ws], ws))  # noqa: B905
-    assert min(pairs.values()) == 1
-
-    def middle(n, ratio):
-        levels = ngram._thresholds(ratio, 1)
-        return ngram.BloomCounts(np.zeros(0), levels).counts(np.searchsorted(levels, n, side="right"))
-
-    z = sum(c.values()) + 0.5 * (len(c) + 1)
-    for r in ngram.lm_scores(table).collect():
-        want = 0.0
-        for a, b in zip([None, *tok[r.doc_id]], tok[r.doc_id]):  # noqa: B905
-            now, before = middle(c[b], 1.15), middle(c[b" " if a is None else a], 1.15)
-            w = 0.5 if before >= 1 else 0.0
-            want += np.log10((1 - w) * (now + 0.5) / z + w * min(middle(pairs[a, b], 1.4), before) / max(before, 1))
-        assert abs(r.score - want) < 1e-3 * abs(want) + 1e-9, (r.doc_id, r.score, want)
-    assert (samples[0] > 0).any()
-
-
-def test_weights_come_from_all_training_documents(spark, monkeypatch):
-    import numpy as np
-
-    seen = []
-    monkeypatch.setattr(ngram, "_tune", lambda _, training: (seen.append(training.count()), np.zeros(ngram.CLASSES))[1])
-    ngram.lm_scores(_frame(spark, [(i, f"a b {i % 7}") for i in range(6_500)]))
-    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(6_500))]
-
-
-def test_bloom_counts_round_trip():
-    import numpy as np
-
-    keys = np.random.default_rng(2).integers(0, 1 << 63, 500).astype(np.uint64)
-    bits = np.zeros(1 << 14, bool)
-    for q in (1, 2, 3):
-        for p in ngram._places(keys[: 500 // q], q, 1 << 14):
-            bits[p.astype(int)] = True
-    f = ngram.BloomCounts(np.packbits(bits, bitorder="little"), np.array([1, 2, 4, 8]))
-    level = f.level_of(keys)
-    assert (level[:166] >= 3).all() and (level[166:250] >= 2).all() and (level[250:] >= 1).all()
-
-
 def test_pii_spans(docs, table):
     rows = {r.doc_id: r for r in pii.pii(table).collect()}
     r = rows[210]

@@ -1,46 +1,46 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-Counting: every task joins its documents' tokens into binary blocks dealt by word hash.  A bucket sums the counts of
-its words over the corpus and returns, for each block of documents, its share of their exact add-half scores; no word
-table leaves the cluster's shuffle.  Word pairs are counted in the same shuffle.
-
-Model: quantised logarithmic counts of words and of word pairs are held in two Bloom filters: a key of level q is
-entered as (key, 1) ... (key, q), and a count is read back by probing levels until one is missing.  The probability of
-a token interpolates the pair's relative frequency with the add-half word probability; the weights by frequency of the
-previous word come from deleted interpolation.  All words and pairs are entered, those seen once included.  A filter
-has as many bits as its counted entries need.  At most RANGE_BITS bits of each are broadcast at once: a larger filter
-is cut into hash ranges, and the texts are passed once for each choice of ranges; a pass scores the tokens whose words
-and pair are in its ranges, and a text's score is the sum over the passes.
+Counting: every task joins its documents' tokens into binary blocks.  Words, with their postings, and word pairs are
+dealt by hash; the task of a hash range sums the counts of its words over the corpus and returns, for each block of
+documents, its share of their exact add-half scores.  No word table leaves the cluster's shuffle.
+
+Model: quantised logarithmic counts of words and of word pairs are held in Bloom filters: a key of level q is entered
+as (key, 1) ... (key, q), and a count is read back by probing levels until one is missing.  All words and pairs are
+entered, those seen once included; a hash range has a filter of its own with as many bits as its entries need.  The
+probability of a token interpolates the pair's relative frequency with the add-half word probability; the weights by
+frequency of the previous word come from deleted interpolation over all training documents.
+
+Up to BROADCAST_TEXT bytes of text, which bound the filters' size, all ranges' filters are broadcast and probed where
+the texts are.  Beyond, the filter of a range stays in the task that built it, which probes it for the words and pairs
+of every block and returns their levels.  The bits, and so the results, are the same.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from dataclasses import dataclass, field
-from functools import lru_cache, reduce
 from itertools import count as counter
-from itertools import product
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, fold_of, materialize, small_batches, text_bytes, whole_text
+from .common import bucket_count, discard, fold_of, materialize, small_batches, text_bytes, whole_text
 from .words import WordHasher
 
-RANGE_BITS = 1 << 28  # of a filter that are broadcast at once
+#: Bytes of text up to which filters are broadcast.  A token enters one level of a word and one of a pair at most, of
+#: 2.5 bytes each after rounding up, and takes 2 bytes of text: filters have 2.5 times as many bytes as the text at most.
+BROADCAST_TEXT = 1 << 27
 BITS_PER_ENTRY = 10
 HASHES = 3
-BUCKET_BYTES = 24e6
-FLUSH_TOKENS = 3_000_000
+BUCKET_BYTES = 16e6
+FLUSH_TOKENS = 2_000_000
 END = xxhash.xxh3_64_intdigest(b"\x20end")
 START = xxhash.xxh3_64_intdigest(b"\x20start")
 CLASSES = 40
-NO_ID = (1 << 63) - 1  # stands for a null doc_id
 
 
 def _thresholds(ratio: float, first: int) -> np.ndarray:
@@ -54,9 +54,9 @@ def _thresholds(ratio: float, first: int) -> np.ndarray:
 WORD_LEVELS, PAIR_LEVELS = _thresholds(1.15, 1), _thresholds(1.4, 1)
 
 
-def tokens_of(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case (the end token is added by the callers)."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def middle(levels: np.ndarray) -> np.ndarray:
+    """The count that stands for a level: the geometric mean of its counts; 0 for level 0."""
+    return np.append(0.0, np.sqrt(levels * np.append(levels[1:] - 1, levels[-1]).astype(float)))
 
 
 def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -65,376 +65,311 @@ def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def token_hashes(texts: list[str], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all tokens, tokens by text, hashes of their pairs): words, then one end for each text."""
+    words, counts = hasher.words(texts)
+    size = counts + 1
+    now = np.full(int(size.sum()), END, np.uint64)
+    inner = np.ones(len(now), bool)
+    inner[size.cumsum() - 1] = False
+    now[inner] = words
+    before = np.append(np.uint64(START), now[:-1]) if len(now) else now
+    before[(size.cumsum() - size)[: len(size)]] = START
+    return now, size, pair_hash(before, now)
+
+
+class BloomCounts:
+    """Log-frequency Bloom filter of 64-bit keys: quantised counts, read back by repeated probes."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits  # of uint8, a power of two long
+
+    @classmethod
+    def of(cls, keys: np.ndarray, level: np.ndarray) -> BloomCounts:
+        """Keys entered with their levels (from 1); as many bits as they need."""
+        size = 1 << max(10, math.ceil(math.log2(max(1, int(level.sum()) * BITS_PER_ENTRY))))
+        out, q = cls(np.zeros(size // 8, np.uint8)), 1
+        while len(keys := keys[level >= q]):
+            level = level[level >= q]
+            for p in out._places(keys, q):
+                np.bitwise_or.at(out.bits, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+            q += 1
+        return out
+
+    def _places(self, keys: np.ndarray, level: int):
+        x = (keys ^ np.uint64((level * 0xD6E8FEB86659FD93) & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        a, b = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+        for k in range(HASHES):
+            yield (a + np.uint64(k) * b) & np.uint64(len(self.bits) * 8 - 1)
+
+    def level_of(self, keys: np.ndarray) -> np.ndarray:
+        """Levels: 0 for a key that was never entered (but for rare chance hits)."""
+        out, open_, level = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0
+        while len(open_):
+            level += 1
+            hit = np.ones(len(open_), bool)
+            for p in self._places(keys[open_], level):
+                hit &= (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            open_ = open_[hit]
+            out[open_] = level
+            if level == 255:
+                break
+        return out
+
+
+def _levels(filters: list[BloomCounts], keys: np.ndarray) -> np.ndarray:
+    """Levels of sorted keys from the filters of equal hash ranges."""
+    shift = np.uint64(64 - (len(filters).bit_length() - 1))
+    cuts = np.searchsorted(keys, np.arange(1, len(filters), dtype=np.uint64) << shift)
+    parts = [f.level_of(k) if len(k) else np.zeros(0, np.uint8) for f, k in zip(filters, np.split(keys, cuts), strict=True)]
+    return np.concatenate(parts)
+
+
 _BLOCKS = "bucket int, block long, a binary, b binary, c binary, d binary"
 
 
+def _documents(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc"), whole_text().alias("text"), (fold_of(5) != 1).alias("train"))
+
+
+def _pack(texts: list[str]) -> bytes:
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    return zstandard.ZstdCompressor(1).compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts))
+
+
+def _unpack(packed: bytes, n: int) -> list[str]:
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    ends = 8 * n + np.frombuffer(data, np.int64, n).cumsum()
+    return [data[x:y].decode("utf-8", "surrogatepass") for x, y in zip([8 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def _cuts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of a sorted array."""
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
+    return first, np.append(first[1:], len(bucket))[: len(first)]
+
+
 def _blocks(documents: DataFrame, buckets: int) -> DataFrame:
-    """bucket -1: the documents of a block (ids, tokens, training flags).  0..: words, then pairs, by hash.
+    """bucket -1: the documents of a block (ids, tokens with flags, texts).  0..: words, then pairs, by hash.
 
-    Words: hashes, postings by word, documents of the postings, counts.  Pairs: hashes, counts (training only).
+    Words: hashes, postings by word, documents of the postings, counts.  Pairs: hashes, counts in training documents.
     """
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
+    def block(number: int, docs: list, texts: list[str], train: list[bool], hasher: WordHasher) -> pd.DataFrame:
+        now, size, pairs = token_hashes(texts, hasher)
+        learn, absent = np.array(train, bool), np.array([d is None for d in docs], bool)
+        own, index = np.unique(now, return_inverse=True)
+        code, tf = np.unique(index.astype(np.int64) * len(docs) + np.repeat(np.arange(len(docs)), size), return_counts=True)
+        word, owner = code // len(docs), code % len(docs)
+        per = np.bincount(word, minlength=len(own)).astype(np.uint32)
+        last = per.cumsum()
+        flags = size * 4 + learn * 2 + absent
+        packed = _pack(texts)
+        rows = [(-1, number, np.array([d or 0 for d in docs], np.int64).tobytes(), flags.astype(np.int64).tobytes(), packed, b"")]
+        owner = (owner * 2 + learn[owner]).astype(np.uint32)  # the training flag rides on the lowest bit
+        for x, y in zip(*map(np.ndarray.tolist, _cuts(own >> shift)), strict=True):
+            lo, hi = int(last[x] - per[x]), int(last[y - 1])
+            rows.append((int(own[x] >> shift), number, own[x:y].tobytes(), per[x:y].tobytes(), owner[lo:hi].tobytes(), tf[lo:hi].astype(np.uint32).tobytes()))
+        p, index = np.unique(pairs, return_inverse=True)
+        c = np.bincount(index, np.repeat(learn, size), len(p)).astype(np.uint32)
+        for x, y in zip(*map(np.ndarray.tolist, _cuts(p >> shift)), strict=True):
+            rows.append((buckets + int(p[x] >> shift), number, p[x:y].tobytes(), c[x:y].tobytes(), b"", b""))
+        return pd.DataFrame(rows, columns=["bucket", "block", "a", "b", "c", "d"])
+
     def run(batches):
-        part = TaskContext.get().partitionId()
-        numbers, state, hasher = counter(part << 24), {}, WordHasher()
-
-        def reset():
-            state.update(ids=defaultdict(counter().__next__), docs=[], words=[], tf=[], owner=[], seq=[], tokens=0)
-
-        def flush():
-            block = next(numbers)
-            words = list(state["ids"])
-            end = state["ids"][b"\x20"]
-            words[end] = b"x"
-            names = hasher.each(words)
-            names[end] = END
-            docs, size, train, keys = (np.array(x) for x in zip(*state["docs"], strict=True))
-            rows = [(-1, block, docs.astype(np.int64).tobytes(), size.astype(np.int64).tobytes(), b"", keys.astype(np.int64).tobytes())]
-            word, tf, owner = (np.concatenate(state[k]) for k in ("words", "tf", "owner"))
-            order = np.lexsort((word, names[word] >> shift))
-            word, tf, owner = word[order], tf[order], owner[order]
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            per = np.diff(np.append(first, len(word)))
-            own = names[word[first]]
-            cut = np.flatnonzero(np.append(True, np.diff((own >> shift).astype(np.int64)) > 0))
-            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(own)], strict=True):
-                lo, hi = int(first[x]), int(first[y]) if y < len(first) else len(word)
-                # the training flag rides on the owner's lowest bit
-                o = (owner[lo:hi] * 2 + train[owner[lo:hi]]).astype(np.uint32)
-                rows.append((int(own[x] >> shift), block, own[x:y].tobytes(), per[x:y].astype(np.uint32).tobytes(), o.tobytes(), tf[lo:hi].astype(np.uint32).tobytes()))
-            pairs = [np.zeros(0, np.uint64)]
-            for s in state["seq"]:
-                h = names[s]
-                pairs.append(pair_hash(np.append(np.uint64(START), h[:-1]), h))
-            p, c = np.unique(np.concatenate(pairs), return_counts=True)
-            if len(p):
-                cut = np.flatnonzero(np.append(True, np.diff((p >> shift).astype(np.int64)) > 0))
-                for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(p)], strict=True):
-                    rows.append((buckets + int(p[x] >> shift), block, p[x:y].tobytes(), c[x:y].astype(np.uint32).tobytes(), b"", b""))
-            reset()
-            return pd.DataFrame(rows, columns=["bucket", "block", "a", "b", "c", "d"])
-
-        reset()
+        numbers, hasher = counter(TaskContext.get().partitionId() << 24), WordHasher()
+        held, size = ([], [], []), 0
         for b in batches:
-            for doc, text, train, key in zip(b["doc"].tolist(), b["text"], b["train"].tolist(), b["key"].tolist(), strict=True):
-                words = tokens_of(text)
-                words.append(b"\x20")  # the end token; no word holds a blank
-                ids = np.fromiter(map(state["ids"].__getitem__, words), np.int32, len(words))
-                u, c = np.unique(ids, return_counts=True)
-                state["words"].append(u)
-                state["tf"].append(c.astype(np.uint32))
-                state["owner"].append(np.full(len(u), len(state["docs"]), np.int64))
-                state["docs"].append((doc, len(words), int(train), key))
-                if train:
-                    state["seq"].append(ids)
-                state["tokens"] += len(words)
-                if state["tokens"] >= FLUSH_TOKENS:
-                    yield flush()
-        if state["docs"]:
-            yield flush()
-
-    return _keyed(documents).mapInPandas(run, _BLOCKS)
-
+            ids = [None if pd.isna(d) else int(d) for d in b["doc"]]
+            for row in zip(ids, b["text"], b["train"].tolist(), strict=True):
+                for x, to in zip(row, held, strict=True):
+                    to.append(x)
+                size += len(row[1]) // 4 + 1
+                if size >= FLUSH_TOKENS:
+                    yield block(next(numbers), *held, hasher)
+                    held, size = ([], [], []), 0
+        if size:
+            yield block(next(numbers), *held, hasher)
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """doc (NO_ID for null) and key (hash of the text) name a row up to repeated rows; text is never null."""
-    out = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), whole_text().alias("text"), (fold_of(5) != 1).alias("train"))
-    return out.withColumn("key", F.xxhash64("text"))
+    return _documents(documents).mapInPandas(run, _BLOCKS)
 
 
-_PARTS = "kind string, block long, n long, v long, a binary, b binary, d binary"
+_PARTS = "kind string, block long, n long, v long, a binary, b binary, c binary"
 
 
-def _count(buckets: int):
-    """Sums the counts of one bucket.
+def _count(buckets: int, probe: bool):
+    """Sums the counts of one bucket, builds its filter and, if asked, probes it for every block.
 
-    kind words, pairs: (hashes, counts) of the training counts, n entries; kind total: n tokens, v distinct words;
-    kind docs: of a block's documents, the sum of log10(c + 0.5) and the number of known tokens; kind list: a block's
-    documents, as they came.
+    kind words, pairs: the filter of hash range n; total: n tokens, v distinct words; docs: of a block's documents,
+    the sum of log10(c + 0.5) and the number of known tokens; list: a block's documents, as they came; word levels,
+    pair levels: of a block's keys in hash range n.
     """
+    columns = ["kind", "block", "n", "v", "a", "b", "c"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
-        cols = ["kind", "block", "n", "v", "a", "b"]
         if bucket < 0:
-            return pdf.assign(kind="list", n=0, v=0)[[*cols, "d"]]
-        if bucket >= buckets:
-            h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["a"]])
-            c = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["b"]])
-            order = np.argsort(h)
-            h, c = h[order], c[order].astype(np.int64)
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            c = np.add.reduceat(c, first)
-            return pd.DataFrame([("pairs", bucket - buckets, len(first), 0, h[first].tobytes(), c.tobytes())], columns=cols).assign(d=b"")
+            return pdf.assign(kind="list", n=0, v=0)[columns]
+        kind, levels = ("words", WORD_LEVELS) if bucket < buckets else ("pairs", PAIR_LEVELS)
         hashes = [np.frombuffer(x, np.uint64) for x in pdf["a"]]
         h, index = np.unique(np.concatenate(hashes), return_inverse=True)
+        index = index.astype(np.int32)
         cuts = np.cumsum([len(x) for x in hashes])[:-1]
-        c = np.zeros(len(h), np.int64)
-        parts = []
-        for i, per, owner, tf in zip(np.split(index, cuts), pdf["b"], pdf["c"], pdf["d"], strict=True):
-            word = np.repeat(i, np.frombuffer(per, np.uint32))
-            owner, tf = np.frombuffer(owner, np.uint32), np.frombuffer(tf, np.uint32)
-            c += np.bincount(word, tf * (owner & 1), len(h)).astype(np.int64)
-            parts.append((word, owner >> 1, tf))
-        known, logs = c > 0, np.log10(c + 0.5)
-        rows = [("total", -1, int(c.sum()), int(known.sum()), b"", b"")]
-        rows.append(("words", bucket, int(known.sum()), 0, h[known].tobytes(), c[known].tobytes()))
-        for block, (word, doc, tf) in zip(pdf["block"].tolist(), parts, strict=True):
-            n = int(doc.max()) + 1
-            rows.append(("docs", block, n, 0, np.bincount(doc, tf * logs[word], n).tobytes(), np.bincount(doc, tf * known[word], n).astype(np.uint32).tobytes()))
-        return pd.DataFrame(rows, columns=cols).assign(d=b"")
+        c, rows = np.zeros(len(h), np.int64), []
+        if kind == "pairs":
+            np.add.at(c, index, np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["b"]]).astype(np.int64))
+        else:
+            parts = []
+            for i, per, owner, tf in zip(np.split(index, cuts), pdf["b"], pdf["c"], pdf["d"], strict=True):
+                word = np.repeat(i, np.frombuffer(per, np.uint32))
+                owner, tf = np.frombuffer(owner, np.uint32), np.frombuffer(tf, np.uint32)
+                c += np.bincount(word, tf * (owner & 1), len(h)).astype(np.int64)
+                parts.append((word, owner >> 1, tf))
+            known, logs = c > 0, np.log10(c + 0.5)
+            rows.append(("total", -1, int(c.sum()), int(known.sum()), b"", b"", b""))
+            for block, (word, doc, tf) in zip(pdf["block"].tolist(), parts, strict=True):
+                n = int(doc.max()) + 1
+                rows.append(("docs", block, n, 0, np.bincount(doc, tf * logs[word], n).tobytes(), np.bincount(doc, tf * known[word], n).astype(np.uint32).tobytes(), b""))
+        bloom = BloomCounts.of(h[c > 0], np.searchsorted(levels, c[c > 0], side="right"))
+        if probe:
+            level = bloom.level_of(h)
+            rows += [(f"{kind[:-1]} levels", block, bucket % buckets, 0, level[i].tobytes(), b"", b"") for block, i in zip(pdf["block"].tolist(), np.split(index, cuts), strict=True)]
+        else:
+            rows.append((kind, -1, bucket % buckets, 0, bloom.bits.tobytes(), b"", b""))
+        return pd.DataFrame(rows, columns=columns)
 
     return run
 
 
-def _finish(log_z: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[pdf["kind"] == "list"].iloc[0]
-        docs, size, keys = (np.frombuffer(head[c], np.int64) for c in ("a", "b", "d"))
-        total, known = np.zeros(len(docs)), np.zeros(len(docs), np.int64)
-        for kind, n, a, b in zip(pdf["kind"], pdf["n"], pdf["a"], pdf["b"], strict=True):
-            if kind == "docs":
-                total[:n] += np.frombuffer(a, np.float64)
-                known[:n] += np.frombuffer(b, np.uint32)
-        return pd.DataFrame({"doc": docs, "key": keys, "n_tokens": size, "n_known": known, "base_score": total - size * log_z})
-
-    return run
+_SCORED = "docs binary, flags binary, base binary, known binary, word binary, pair binary"
 
 
-@dataclass
-class BloomCounts:
-    """Quantised counts of 64-bit keys: of those in one of equal hash ranges."""
-
-    bits: np.ndarray  # of uint8, a power of two long
-    levels: np.ndarray
-    number: int = 0
-    ranges: int = 1  # a power of two
-
-    def _places(self, keys: np.ndarray, level: int):
-        return _places(keys, level, len(self.bits) * 8, self.ranges)
+def _assemble(sent):
+    """Joins what came back for one block: its documents' sums, and the levels of its tokens and of their pairs.
 
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        return _range_of(keys, self.ranges) == self.number
+    sent: the broadcast filters (words, pairs) by hash range, or None where the levels came back, too.
+    """
 
-    def level_of(self, keys: np.ndarray) -> np.ndarray:
-        """Levels by repeated probes: 0 for a key that was never entered (but for rare chance hits)."""
-        out, open_ = np.zeros(len(keys), np.int32), np.arange(len(keys))
-        for level in range(1, len(self.levels) + 1):
-            hit = np.ones(len(open_), bool)
-            for p in self._places(keys[open_], level):
-                hit &= (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            open_ = open_[hit]
-            if not len(open_):
-                break
-            out[open_] = level
-        return out
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf[pdf["kind"] == "list"].iloc[0]
+        docs = np.frombuffer(head["a"], np.int64)
+        base, known = np.zeros(len(docs)), np.zeros(len(docs), np.int64)
+        for n, a, b in pdf.loc[pdf["kind"] == "docs", ["n", "a", "b"]].itertuples(index=False):
+            base[:n] += np.frombuffer(a, np.float64)
+            known[:n] += np.frombuffer(b, np.uint32)
+        now, _, pairs = token_hashes(_unpack(head["c"], len(docs)), WordHasher())
+        out = []
+        for k, (kind, keys) in enumerate((("word levels", now), ("pair levels", pairs))):
+            u, index = np.unique(keys, return_inverse=True)
+            if sent is None:
+                came = pdf[pdf["kind"] == kind].sort_values("n")
+                level = np.concatenate([np.frombuffer(x, np.uint8) for x in came["a"]])
+            else:
+                level = _levels(sent.value[k], u)
+            out.append(zstandard.ZstdCompressor(1).compress(level[index].tobytes()))
+        return pd.DataFrame([(head["a"], head["b"], base.tobytes(), known.tobytes(), *out)], columns=["docs", "flags", "base", "known", "word", "pair"])
 
-    def counts(self, level: np.ndarray) -> np.ndarray:
-        """Middle (geometric mean) of the level's counts."""
-        lo = self.levels
-        hi = np.append(lo[1:] - 1, lo[-1])
-        return np.append(0.0, np.sqrt(lo * hi.astype(float)))[level]
+    return run
 
 
-def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return (keys >> np.uint64(1)) >> np.uint64(64 - ranges.bit_length())  # two steps: one range shifts by 64
+def _unpacked(row):
+    """(tokens by document, training flags, null ids, levels of words, of the words before, of pairs) of a block."""
+    flags = np.frombuffer(row.flags, np.int64)
+    word, pair = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in (row.word, row.pair))
+    size = flags >> 2
+    ends = size.cumsum() - 1
+    before = np.append(np.uint8(0), word[:-1]) if len(word) else word
+    before[ends - size + 1] = word[ends]  # one start for each end
+    return size, (flags & 2) > 0, (flags & 1) > 0, word, before, pair
 
 
-def _places(keys: np.ndarray, level: int, bits: int, ranges: int = 1):
-    """In the filter of its range, a key keeps to the slice of its next bits, so that a bucket fills few slices."""
-    x = (keys ^ np.uint64((level * 0xD6E8FEB86659FD93) & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    a, b = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    slice_ = np.uint64(max(1, bits // SLICES))
-    base = ((keys << np.uint64(ranges.bit_length() - 1)) >> np.uint64(64 - SLICES.bit_length() + 1)) * slice_
-    for k in range(HASHES):
-        yield base + ((a + np.uint64(k) * b) & (slice_ - np.uint64(1)))
+def level_counts(blocks: DataFrame) -> pd.DataFrame:
+    """(code, n): how often levels (before, word, pair) occur in training documents; 0 for those of others only.
 
+    The levels are of a fixed number, so the result is bounded however large the corpus is.
+    """
 
-SLICES = 256  # equal hash ranges of a filter; buckets are unions or parts of them
+    def run(batches):
+        for b in batches:
+            for row in b.itertuples(index=False):
+                size, train, _, word, before, pair = _unpacked(row)
+                code = (before.astype(np.int32) << 16) | (word.astype(np.int32) << 8) | pair
+                u, index = np.unique(code, return_inverse=True)
+                yield pd.DataFrame({"code": u, "n": np.bincount(index, np.repeat(train, size), len(u)).astype(np.int64)})
 
+    return blocks.mapInPandas(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
 
-def _size(parts: DataFrame, kind: str, levels: np.ndarray) -> tuple[int, int]:
-    """(bits of one range, ranges) of a filter that all counted keys enter, from the histogram of their levels."""
 
-    def levels_of(batches):
-        for b in batches:
-            total = np.zeros(len(levels) + 1, np.int64)
-            for x in b["b"]:
-                total += np.bincount(np.searchsorted(levels, np.frombuffer(x, np.int64), side="right"), minlength=len(levels) + 1)
-            yield pd.DataFrame({"level": np.arange(len(total)), "n": total})
+def _tune(odds: np.ndarray, group: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Deleted interpolation: weights by class of the previous word's count that make the left-out tokens likeliest."""
+    w, total = np.full(CLASSES, 0.1), np.bincount(group, n, CLASSES)
+    for _ in range(60):
+        belief = w[group] * odds / (w[group] * odds + 1 - w[group])
+        w = np.clip(np.bincount(group, n * belief, CLASSES) / np.maximum(total, 1), 0, 0.95)
+    return np.where(total > 0, w, 0.0)
 
-    got = parts.filter(F.col("kind") == kind).select("b").mapInPandas(levels_of, "level int, n long")
-    entries = int(got.agg(F.sum(F.col("level") * F.col("n")).alias("n")).first()["n"] or 0)
-    bits = 1 << max(14, math.ceil(math.log2(max(1, entries * BITS_PER_ENTRY))))
-    return min(bits, RANGE_BITS), max(1, bits // RANGE_BITS)
 
+def log_probabilities(seen: pd.DataFrame, log_z: float) -> np.ndarray:
+    """log10 of the probability by (level before, level, level of the pair), for all that occur."""
+    code, n = seen["code"].to_numpy(), seen["n"].to_numpy()
+    words, pairs = middle(WORD_LEVELS), middle(PAIR_LEVELS)
+    previous, word = words[code >> 16], (words[code >> 8 & 255] + 0.5) / 10**log_z
+    together = np.where(previous < 1, 0.0, np.minimum(pairs[code & 255], previous))
+    group = np.clip(np.log2(np.maximum(previous, 1)).astype(int), 0, CLASSES - 1)
+    ok = previous >= 1.5
+    left = np.maximum(together - 1, 0) / np.maximum(previous - 1, 1)
+    weights = _tune(left[ok] / word[ok], group[ok], n[ok])
+    w = np.where(previous >= 1, weights[group], 0.0)
+    at = code >> 16, code >> 8 & 255, code & 255
+    out = np.zeros([int(x.max()) + 1 if len(x) else 1 for x in at])
+    out[at] = np.log10((1 - w) * word + w * together / np.maximum(previous, 1))
+    return out
 
-def _filter(parts: DataFrame, kind: str, levels: np.ndarray, buckets: int, bits: int, number: int, ranges: int) -> BloomCounts:
-    """Builds the filter of one hash range from the counted buckets."""
 
-    def fill(batches):
-        for b in batches:
-            out = {}
-            for a, c in zip(b["a"], b["b"], strict=True):
-                keys, level = np.frombuffer(a, np.uint64), np.searchsorted(levels, np.frombuffer(c, np.int64), side="right")
-                mine = _range_of(keys, ranges) == number
-                keys, level = keys[mine], level[mine]
-                q = 1
-                while len(keys := keys[level >= q]):
-                    level = level[level >= q]
-                    for p in _places(keys, q, bits, ranges):
-                        size = max(8, bits // SLICES)
-                        for s in np.unique(p // np.uint64(size)).tolist():
-                            mask = out.setdefault(s, np.zeros(size, bool))
-                            mask[(p[p // np.uint64(size) == s] - np.uint64(s * size)).astype(np.int64)] = True
-                    q += 1
-            yield pd.DataFrame([(s, np.packbits(m, bitorder="little").tobytes()) for s, m in out.items()], columns=["slice", "bits"])
-
-    held = F.col("block").between(number * buckets // ranges, ((number + 1) * buckets - 1) // ranges)
-    whole = np.zeros(bits // 8, np.uint8)
-    size = max(8, bits // SLICES) // 8
-    for r in parts.filter((F.col("kind") == kind) & held).select("a", "b").mapInPandas(fill, "slice long, bits binary").toLocalIterator():
-        whole[r["slice"] * size : (r["slice"] + 1) * size] |= np.frombuffer(r["bits"], np.uint8)
-    return BloomCounts(whole, levels, number, ranges)
-
-
-@dataclass
-class NgramModel:
-    """For the tokens whose previous word, word and pair are in the ranges of the three filters."""
-
-    before: BloomCounts
-    words: BloomCounts
-    pairs: BloomCounts
-    log_z: float
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
-
-    def terms(self, texts: list[str], hasher: WordHasher):
-        """For the tokens of the ranges in one array: (number of the text, p_word, pair's count, class and count before)."""
-        words, counts = hasher.words(texts)
-        size = counts + 1
-        ends = size.cumsum() - 1
-        now = np.full(int(size.sum()), END, np.uint64)
-        before = np.full(int(size.sum()), START, np.uint64)
-        inner = np.ones(len(now), bool)
-        inner[ends] = False
-        now[inner] = words
-        later = np.ones(len(now), bool)
-        later[ends - size + 1] = False
-        before[later] = now[np.flatnonzero(later) - 1]
-        u, index = np.unique(now, return_inverse=True)
-        last = np.full(len(now), np.searchsorted(u, np.uint64(END)))  # one start for each end
-        last[later] = index[np.flatnonzero(later) - 1]
-        owner, pair = np.repeat(np.arange(len(texts)), size), pair_hash(before, now)
-        if self.words.ranges * self.pairs.ranges > 1:
-            mine = self.before.holds(u)[last] & self.words.holds(u)[index] & self.pairs.holds(pair)
-            owner, pair, index, last = owner[mine], pair[mine], index[mine], last[mine]
-        level = self.words.counts(self.words.level_of(u))
-        count = level[index]
-        previous = (level if self.before.number == self.words.number else self.before.counts(self.before.level_of(u)))[last]
-        together = self.pairs.counts(self.pairs.level_of(pair))
-        together[previous < 1] = 0
-        group = np.clip(np.log2(np.maximum(previous, 1)).astype(int), 0, CLASSES - 1)
-        return owner, (count + 0.5) / 10**self.log_z, np.minimum(together, previous), group, previous
-
-    def scores(self, texts: list[str], hasher: WordHasher) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        owner, word, together, group, previous = self.terms(texts, hasher)
-        w = np.where(previous >= 1, self.weights[group], 0.0)
-        p = (1 - w) * word + w * together / np.maximum(previous, 1)
-        return np.bincount(owner, np.log10(p), len(texts))
-
-
-def _groups_of(texts: list[str], most: int = 1_000_000):
-    """Runs of texts of about `most` characters together."""
-    start, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield texts[start : k + 1]
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield texts[start:]
-
-
-def _tune(passes, training: DataFrame) -> np.ndarray:
-    """Deleted interpolation: weights by class of the previous word's count, from a histogram of odds over the passes."""
-    bins, step = 160, 0.25
-
-    def run(batches, opened):
-        hasher, model = WordHasher(), opened(np.zeros(CLASSES))
-        hist = np.zeros((CLASSES, bins + 1), np.int64)
-        for b in batches:
-            for texts in _groups_of(list(b["text"])):
-                _, word, together, group, previous = model.terms(texts, hasher)
-                ok = previous >= 1.5
-                left = np.maximum(together[ok] - 1, 0) / np.maximum(previous[ok] - 1, 1)
-                k = np.where(left > 0, np.clip(np.round(np.log2(np.maximum(left, 1e-30) / word[ok]) / step) + bins // 2, 1, bins), 0).astype(int)
-                hist += np.bincount(group[ok] * (bins + 1) + k, minlength=hist.size).reshape(hist.shape)
-        g, k = np.nonzero(hist)
-        yield pd.DataFrame({"g": g, "k": k, "n": hist[g, k]})
-
-    hist = np.zeros((CLASSES, bins + 1))
-    for opened in passes():
-        found = training.mapInPandas(lambda batches, opened=opened: run(batches, opened), "g int, k int, n long")
-        for r in found.groupBy("g", "k").agg(F.sum("n").alias("n")).collect():
-            hist[r["g"], r["k"]] += r["n"]
-    odds = np.append(0.0, 2.0 ** ((np.arange(1, bins + 1) - bins // 2) * step))
-    w = np.full(CLASSES, 0.1)
-    for _ in range(60):
-        belief = w[:, None] * odds / (w[:, None] * odds + 1 - w[:, None])
-        w = (hist * belief).sum(1) / np.maximum(hist.sum(1), 1)
-        w = np.clip(w, 0, 0.95)
-    return np.where(hist.sum(1) > 0, w, 0.0)
+_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def lm_scores(documents: DataFrame) -> DataFrame:
     """The op9 query: one row per row of documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Null text is empty (one end token); repeated rows are scored alike; a null doc_id hashes as the empty text; an
-    empty table gives an empty result; without training documents every token has probability 1 (N = 0, V = 0).
+    Null text is empty (one end token); repeated rows are scored alike; a null doc_id stays null and hashes as the
+    empty text; an empty table gives an empty result; without training documents every token has probability 1
+    (N = 0, V = 0).  A text of any length is one document of a block; it is held as arrays of 8 bytes a token.
+    Columns beside doc_id and text are not read.
     """
     small_batches(documents.sparkSession)
     docs = documents.select("doc_id", "text")
-    buckets = bucket_count(0.7 * text_bytes(docs), BUCKET_BYTES)
+    total_bytes = text_bytes(docs)
+    buckets, near = bucket_count(1.8 * total_bytes, BUCKET_BYTES), total_bytes <= BROADCAST_TEXT
     own = F.when(F.col("bucket") < 0, F.col("block"))  # the lists of documents stay apart
-    parts = materialize(_blocks(docs, buckets).groupBy("bucket", own.alias("own")).applyInPandas(_count(buckets), _PARTS), "ngram")
+    parts = materialize(_blocks(docs, buckets).groupBy("bucket", own.alias("own")).applyInPandas(_count(buckets, not near), _PARTS), "ngram")
     total = parts.filter("kind = 'total'").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"] or 0)
     log_z = math.log10(n + 0.5 * (v + 1))
-    base = parts.filter("kind IN ('list', 'docs')").groupBy("block").applyInPandas(_finish(log_z), "doc long, key long, n_tokens long, n_known long, base_score double")
-    (word_bits, word_ranges), (pair_bits, pair_ranges) = _size(parts, "words", WORD_LEVELS), _size(parts, "pairs", PAIR_LEVELS)
-    words_of = lru_cache(2)(lambda k: _filter(parts, "words", WORD_LEVELS, buckets, word_bits, k, word_ranges))
-    last: list = []
-
-    def passes():
-        """For each choice of ranges in turn, what opens its model in a task; the filters of the pass before go."""
-        for i, j, k in product(range(word_ranges), range(word_ranges), range(pair_ranges)):
-            if not last or last[0] != (i, j, k):
-                if last:
-                    last.pop().destroy()
-                filters = words_of(i), words_of(j), _filter(parts, "pairs", PAIR_LEVELS, buckets, pair_bits, k, pair_ranges)
-                last[:] = [(i, j, k), documents.sparkSession.sparkContext.broadcast(filters)]
-            yield lambda weights, sent=last[1]: NgramModel(*sent.value, log_z, weights)
-
-    keyed = _keyed(docs)
-    weights = _tune(passes, keyed.filter("train").select("text"))
-
-    def run(batches, opened):
-        hasher, model = WordHasher(), opened(weights)
+    sent = documents.sparkSession.sparkContext.broadcast([_filters(parts, kind, buckets) for kind in ("words", "pairs")]) if near else None
+    blocks = materialize(parts.filter("block >= 0").groupBy("block").applyInPandas(_assemble(sent), _SCORED), "ngram-blocks")
+    discard(parts)
+    table = documents.sparkSession.sparkContext.broadcast(log_probabilities(level_counts(blocks), log_z))
+
+    def run(batches):
         for b in batches:
-            found = [model.scores(group, hasher) for group in _groups_of(list(b["text"]))]
-            yield pd.DataFrame({"doc": b["doc"], "key": b["key"], "held_out": ~b["train"], "score": np.concatenate([np.zeros(0), *found])})
-
-    several, done = word_ranges * pair_ranges > 1, []
-    for opened in passes():
-        scored = keyed.mapInPandas(lambda batches, opened=opened: run(batches, opened), "doc long, key long, held_out boolean, score double")
-        done.append(materialize(scored, "ngram-pass") if several else scored)
-    if several:  # each pass has every row; rows of one doc and key are alike
-        total = reduce(DataFrame.unionByName, done).groupBy("doc", "key").agg((F.avg("score") * len(done)).alias("score"))
-        scored = done[0].drop("score").join(total, ["doc", "key"])
-    out = scored.join(base.dropDuplicates(["doc", "key"]), ["doc", "key"])
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+            for row in b.itertuples(index=False):
+                size, train, absent, word, before, pair = _unpacked(row)
+                score = np.bincount(np.repeat(np.arange(len(size)), size), table.value[before, word, pair], len(size))
+                ids = pd.array(np.frombuffer(row.docs, np.int64).copy(), "Int64")
+                ids[absent] = None
+                base = np.frombuffer(row.base, np.float64) - size * log_z
+                yield pd.DataFrame({"doc_id": ids, "held_out": ~train, "n_tokens": size, "n_known": np.frombuffer(row.known, np.int64), "train_tokens": n, "base_score": base, "score": score})
+
+    return blocks.mapInPandas(run, _OUT)
+
+
+def _filters(parts: DataFrame, kind: str, buckets: int) -> list[BloomCounts]:
+    """The filters of all hash ranges, of at most BROADCAST_TEXT bytes together."""
+    out = [BloomCounts(np.zeros(1, np.uint8)) for _ in range(buckets)]
+    for r in parts.filter(F.col("kind") == kind).select("n", "a").toLocalIterator():
+        out[r["n"]] = BloomCounts(np.frombuffer(r["a"], np.uint8))
+    return out
