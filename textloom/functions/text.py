@@ -98,18 +98,31 @@ def splits(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
     return both.groupBy("word").agg(F.min(F.struct("i", "left_part", "right_part")).alias("b")).select("word", "b.left_part", "b.right_part")
 
 
-def language_guess(docs: DataFrame) -> DataFrame:
-    """(doc_id, guess): argmax over languages of the summed trigram shares in the corpus of that language."""
-    grams = tokens(docs.withColumn("doc_id", F.struct("doc_id", "lang"))).select("doc_id", F.explode(trigrams(F.col("tok"))).alias("g"))
-    per_doc = grams.groupBy("doc_id", "g").agg(F.count("*").alias("c"))
-    model = per_doc.groupBy(F.col("doc_id.lang").alias("lang"), "g").agg(F.sum("c").alias("n"))
-    total = model.groupBy("lang").agg(F.sum("n").alias("t"))
-    share = model.join(F.broadcast(total), "lang").select("lang", "g", (F.col("n") / F.col("t")).alias("p"))
-    scored = per_doc.join(share, "g").groupBy("doc_id", "lang").agg(F.round(F.sum(F.col("c") * F.col("p")), 6).alias("s"))
-    best = scored.groupBy("doc_id").agg(F.max(F.struct("s", "lang")).alias("b"))
-    return best.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("b.lang").alias("guess"))
+MODEL_MOST = 200_000  # trigrams of a language model that are broadcast; a larger model is joined
+
+
+def language_model(docs: DataFrame) -> DataFrame:
+    """(g, shares): for each trigram its share of all trigrams of a language, an entry by language.  docs: (lang, text)."""
+    words = docs.select("lang", F.explode(token_array(F.col("text"))).alias("tok")).groupBy("lang", "tok").agg(F.count("*").alias("c"))
+    counted = words.select("lang", "c", F.explode(trigrams(F.col("tok"))).alias("g")).groupBy("lang", "g").agg(F.sum("c").alias("n"))
+    total = counted.groupBy("lang").agg(F.sum("n").alias("t"))
+    share = counted.join(F.broadcast(total), "lang")  # one row a language
+    return share.groupBy("g").agg(F.collect_list(F.struct("lang", (F.col("n") / F.col("t")).alias("p"))).alias("shares"))
 
 
+def language_guess(docs: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """(doc_id, guess): argmax over languages of the summed trigram shares in the corpus of that language.
+
+    model: as of language_model; by default that of the documents themselves.
+    """
+    model = language_model(docs) if model is None else model
+    model = F.broadcast(model) if model.limit(MODEL_MOST + 1).count() <= MODEL_MOST else model
+    words = tokens(docs).groupBy("doc_id", "tok").agg(F.count("*").alias("c"))
+    grams = words.select("doc_id", "c", F.explode(trigrams(F.col("tok"))).alias("g")).join(model, "g")
+    each = grams.select("doc_id", "c", F.explode("shares").alias("s"))
+    scored = each.groupBy("doc_id", "s.lang").agg(F.round(F.sum(F.col("c") * F.col("s.p")), 6).alias("s"))
+    best = scored.groupBy("doc_id").agg(F.max(F.struct("s", "lang")).alias("b"))
+    return best.select("doc_id", F.col("b.lang").alias("guess"))
 
 
 BREAKS = "[\\n\\r\\t\"';:|()«»–]|  +"

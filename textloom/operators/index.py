@@ -46,29 +46,53 @@ def smart_score(gram: Column, cnt: Column, df: Column) -> Column:
     return short * 2.0 * F.log(F.lit(128.0) + cnt) / F.log(F.lit(1.0) + (F.lit(1.0) + df))
 
 
-def search(links: DataFrame, queries: DataFrame, smart: bool = False, most: int = MAX_BACK) -> DataFrame:
+VOCABULARY_MOST = 100_000  # grams of queries that are broadcast to the scan of the texts; more are joined
+
+
+def asked_for(grams: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows of grams (.., gram, ..) whose gram some query has: before anything is shuffled, where the size allows."""
+    vocabulary = queries.select("gram").distinct()
+    few = vocabulary.limit(VOCABULARY_MOST + 1).count() <= VOCABULARY_MOST
+    return grams.join(F.broadcast(vocabulary) if few else vocabulary, "gram", "left_semi")
+
+
+def search(docs: DataFrame, queries: DataFrame, smart: bool = False, most: int = MAX_BACK) -> DataFrame:
     """(item_id, doc_id, score, rank): the best documents of each query by summed scores of shared grams.
 
-    queries: (item_id, gram), distinct.  The query side is the small one; the planner broadcasts it where its
-    measured size allows.  Equal scores (to six places) are ordered by document.
+    docs: (doc_id, text); queries: (item_id, gram), distinct.  Only grams of the queries are counted: the others never
+    leave the scan, and the frequency of a gram does not need them.  Equal scores (to six places) are ordered by
+    document.
     """
+    counted = asked_for(features(docs), queries).groupBy("gram", "doc_id").agg(F.count("*").alias("cnt"))
+    return ranked(scored(counted, queries, smart), most)
+
+
+def scored(links: DataFrame, queries: DataFrame, smart: bool = False) -> DataFrame:
+    """(item_id, doc_id, score) from postings (gram, doc_id, cnt) that hold all documents of the queries' grams."""
     w = with_frequency(links)
     score = (smart_score(F.col("gram"), F.col("cnt"), F.col("df")) if smart else default_score(F.col("df"))) * _boost(F.col("gram"))
-    hits = w.join(queries, "gram").groupBy("item_id", "doc_id").agg(F.round(F.sum(score), 6).alias("score"))
+    return w.join(queries, "gram").groupBy("item_id", "doc_id").agg(F.round(F.sum(score), 6).alias("score"))
+
+
+def ranked(hits: DataFrame, most: int = MAX_BACK) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return hits.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most)
 
 
-def rare_features(links: DataFrame, most: int) -> DataFrame:
-    """(doc_id, gram, df) of grams in at most `most` documents."""
-    return with_frequency(links).filter(F.col("df") <= most).select("doc_id", "gram", "df")
+def rare_features(links: DataFrame, most: int, size: int | None = None, doc: int | None = None) -> DataFrame:
+    """(doc_id, gram, df) of grams of at most `size` tokens in at most `most` documents; of one document if given."""
+    held = with_frequency(links if size is None else links.filter(F.size(F.split("gram", " ")) <= size)).filter(F.col("df") <= most)
+    return (held if doc is None else held.filter(F.col("doc_id") == doc)).select("doc_id", "gram", "df")
 
 
-def important_features(links: DataFrame, back: int = 50) -> DataFrame:
-    """(gram, score): (1 + sum of ln(count / top count + 1)) / df, best first."""
-    top = top_feature(links).select("doc_id", "topcnt")
-    rated = links.join(top, "doc_id").groupBy("gram").agg(F.round((1 + F.sum(F.log(F.col("cnt") / F.col("topcnt") + 1))) / F.count("*"), 6).alias("score"))
-    return rated.orderBy(F.desc("score"), "gram").limit(back)
+def important_features(links: DataFrame, back: int = 50, skip_percent: float = 0.0) -> DataFrame:
+    """(gram, score): (1 + sum of ln(count / top count + 1)) / df, best first; the first skip_percent of all are left out."""
+    top = links.withColumn("topcnt", F.max("cnt").over(Window.partitionBy("doc_id")))
+    rated = top.groupBy("gram").agg(F.round((1 + F.sum(F.log(F.col("cnt") / F.col("topcnt") + 1))) / F.count("*"), 6).alias("score"))
+    if not skip_percent:
+        return rated.orderBy(F.desc("score"), "gram").limit(back)
+    skipped = int(rated.count() * skip_percent / 100)
+    return rated.orderBy(F.desc("score"), "gram").offset(skipped).limit(back)
 
 
 def tagged_all(doc_tags: DataFrame, tags: list[str], strict: bool = False) -> DataFrame:

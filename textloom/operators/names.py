@@ -27,12 +27,20 @@ def name_grams(names: DataFrame) -> DataFrame:
 def match_names(names: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, name, shared, relevance, coverage): at least COVERAGE_LEAST, within COVERAGE_DROP of the best.
 
-    queries: (qid, q).  An equi-join on grams; relevance is the sum of 1/df^2.
+    queries: (qid, q).  A name that covers so much of a query has one of its rarest grams, all but so many: only these
+    are joined, so a gram that most names have meets only queries that have nothing rarer.  Relevance is the sum of
+    1/df^2 over the shared grams.
     """
-    index = name_grams(names)
-    df = index.groupBy("gram").agg(F.count("*").alias("df"))
+    held = names.select(normalised(F.col("name")).alias("name")).distinct().withColumn("gs", trigrams(F.col("name")))
+    df = held.select(F.explode("gs").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     asked = queries.select("qid", trigrams(normalised(F.col("q"))).alias("gs")).select("qid", F.size("gs").alias("nq"), F.explode("gs").alias("gram"))
-    hits = asked.join(index.join(df, "gram"), "gram").groupBy("qid", "nq", "name").agg(F.count("*").alias("shared"), F.round(F.sum(1 / (F.col("df") * F.col("df"))), 6).alias("relevance"))
+    asked = asked.join(df, "gram", "left").groupBy("qid", "nq").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("qs"))
+    rare = F.slice("qs", F.lit(1), (F.col("nq") - F.ceil(F.col("nq") * COVERAGE_LEAST - 1e-9) + 1).cast("int"))
+    probes = asked.select("qid", "nq", "qs", F.explode(rare).alias("p")).select("qid", "nq", "qs", F.col("p.gram").alias("gram"))
+    met = probes.join(held.select("name", "gs", F.explode("gs").alias("gram")), "gram").groupBy("qid", "name").agg(F.any_value("nq").alias("nq"), F.any_value("qs").alias("qs"), F.any_value("gs").alias("gs"))
+    shared = F.filter("qs", lambda x: F.array_contains("gs", x["gram"]))
+    weight = F.aggregate("shared_grams", F.lit(0.0), lambda acc, x: acc + 1 / (x["df"] * x["df"]))
+    hits = met.withColumn("shared_grams", shared).select("qid", "nq", "name", F.size("shared_grams").cast("long").alias("shared"), F.round(weight, 6).alias("relevance"))
     hits = hits.withColumn("coverage", F.round(F.col("shared") / F.col("nq"), 6)).filter(F.col("coverage") >= COVERAGE_LEAST)
     top = F.max("coverage").over(Window.partitionBy("qid"))
     return hits.withColumn("best", top).filter(F.col("best") - F.col("coverage") <= COVERAGE_DROP + 1e-9).select("qid", "name", "shared", "relevance", "coverage")
@@ -49,13 +57,25 @@ def ranked_names(hits: DataFrame, rank: DataFrame) -> DataFrame:
     return out.filter((F.col("lead") - F.col("score") <= RANK_DROP) & (F.col("rank") <= NAMES_MOST)).select("qid", "name", "score", "rank")
 
 
+PREFIX_KEY = 3  # letters by which names and prefixes meet before the prefix test
+
+
 def autocomplete(names: DataFrame, prefixes: DataFrame, most: int = 10) -> DataFrame:
-    """(prefix, name, rank): names that start with the prefix, shortest path less relevance first."""
-    # an equi-join on the first three letters narrows before the prefix test
-    hits = names.withColumn("k", F.substring("name", 1, 3)).join(prefixes.withColumn("k", F.substring("prefix", 1, 3)), "k").filter(F.col("name").startswith(F.col("prefix")))
-    best = hits.groupBy("prefix", "name").agg(F.min(F.length("name") - F.col("relevance")).alias("w"))
+    """(prefix, name, rank): names that start with the prefix, shortest path less relevance first.
+
+    Names and prefixes meet by their first letters, shorter prefixes by as many as they have.
+    """
+    key = F.sequence(F.lit(1), F.lit(PREFIX_KEY))
+    named = names.select("*", F.explode(F.transform(key, lambda n: F.when(F.length("name") >= n, F.substr("name", F.lit(1), n)))).alias("k")).filter("k IS NOT NULL")
+    asked = prefixes.withColumn("k", F.substring("prefix", 1, PREFIX_KEY))
+    hits = named.join(asked, "k").filter(F.col("name").startswith(F.col("prefix")))
+    return best_names(hits.groupBy("prefix", "name").agg(F.min(F.length("name") - F.col("relevance")).alias("w")), most)
+
+
+def best_names(rated: DataFrame, most: int = 10) -> DataFrame:
+    """(prefix, name, rank) of rated (prefix, name, w): the least w first."""
     rank = F.row_number().over(Window.partitionBy("prefix").orderBy("w", "name"))
-    return best.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most).select("prefix", "name", "rank")
+    return rated.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most).select("prefix", "name", "rank")
 
 
 def topics(links: DataFrame, weight: float = 100.0) -> DataFrame:
@@ -90,8 +110,8 @@ def to_degrees(value: Column, unit: str) -> Column:
 
 def term_shares(toks: DataFrame) -> DataFrame:
     """(doc_id, tok, tf): share of the document's tokens."""
-    n = toks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return toks.groupBy("doc_id", "tok").agg(F.count("*").alias("c")).join(n, "doc_id").select("doc_id", "tok", (F.col("c") / F.col("n")).alias("tf"))
+    counted = toks.groupBy("doc_id", "tok").agg(F.count("*").alias("c"))
+    return counted.select("doc_id", "tok", (F.col("c") / F.sum("c").over(Window.partitionBy("doc_id"))).alias("tf"))
 
 
 def centroids(shares: DataFrame, tags: DataFrame) -> DataFrame:
