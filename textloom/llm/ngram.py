@@ -1,8 +1,8 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-Counting: every task joins its documents' tokens into binary blocks.  Words, with their postings, and word pairs are
-dealt by hash; the task of a hash range sums the counts of its words over the corpus and returns, for each block of
-documents, its share of their exact add-half scores.  No word table leaves the cluster's shuffle.
+Counting: every task joins its documents into blocks and deals each block's distinct words and word pairs by hash; the
+task of a hash range sums their counts over the corpus and returns to each block the exact counts of its words, for
+the add-half scores.  No word table leaves the cluster's shuffle.
 
 Model: quantised logarithmic counts of words and of word pairs are held in Bloom filters: a key of level q is entered
 as (key, 1) ... (key, q), and a count is read back by probing levels until one is missing.  All words and pairs are
@@ -59,10 +59,22 @@ def middle(levels: np.ndarray) -> np.ndarray:
     return np.append(0.0, np.sqrt(levels * np.append(levels[1:] - 1, levels[-1]).astype(float)))
 
 
+PAIR_BITS = np.uint64(0xFFFFFFFFFFFF0000)  # pairs are told apart by 48 bits: rarer mistakes than the filter's own
+
+
 def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     x = (left ^ (left >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + right
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) & PAIR_BITS
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys by their 16-bit parts, which a shuffle's compression can use."""
+    return keys.view(np.uint16).reshape(-1, 4).T.tobytes()
+
+
+def _keys(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint16).reshape(4, -1).T).view(np.uint64).ravel()
 
 
 def token_hashes(texts: list[str], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +139,7 @@ def _levels(filters: list[BloomCounts], keys: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
-_BLOCKS = "bucket int, block long, a binary, b binary, c binary, d binary"
+_BLOCKS = "bucket int, block long, a binary, b binary, c binary"
 
 
 def _documents(documents: DataFrame) -> DataFrame:
@@ -154,30 +166,22 @@ def _cuts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _blocks(documents: DataFrame, buckets: int) -> DataFrame:
     """bucket -1: the documents of a block (ids, tokens with flags, texts).  0..: words, then pairs, by hash.
 
-    Words: hashes, postings by word, documents of the postings, counts.  Pairs: hashes, counts in training documents.
+    Words and pairs: distinct hashes of the block, counts in training documents.
     """
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def block(number: int, docs: list, texts: list[str], train: list[bool], hasher: WordHasher) -> pd.DataFrame:
         now, size, pairs = token_hashes(texts, hasher)
         learn, absent = np.array(train, bool), np.array([d is None for d in docs], bool)
-        own, index = np.unique(now, return_inverse=True)
-        code, tf = np.unique(index.astype(np.int64) * len(docs) + np.repeat(np.arange(len(docs)), size), return_counts=True)
-        word, owner = code // len(docs), code % len(docs)
-        per = np.bincount(word, minlength=len(own)).astype(np.uint32)
-        last = per.cumsum()
         flags = size * 4 + learn * 2 + absent
-        packed = _pack(texts)
-        rows = [(-1, number, np.array([d or 0 for d in docs], np.int64).tobytes(), flags.astype(np.int64).tobytes(), packed, b"")]
-        owner = (owner * 2 + learn[owner]).astype(np.uint32)  # the training flag rides on the lowest bit
-        for x, y in zip(*map(np.ndarray.tolist, _cuts(own >> shift)), strict=True):
-            lo, hi = int(last[x] - per[x]), int(last[y - 1])
-            rows.append((int(own[x] >> shift), number, own[x:y].tobytes(), per[x:y].tobytes(), owner[lo:hi].tobytes(), tf[lo:hi].astype(np.uint32).tobytes()))
-        p, index = np.unique(pairs, return_inverse=True)
-        c = np.bincount(index, np.repeat(learn, size), len(p)).astype(np.uint32)
-        for x, y in zip(*map(np.ndarray.tolist, _cuts(p >> shift)), strict=True):
-            rows.append((buckets + int(p[x] >> shift), number, p[x:y].tobytes(), c[x:y].tobytes(), b"", b""))
-        return pd.DataFrame(rows, columns=["bucket", "block", "a", "b", "c", "d"])
+        rows = [(-1, number, np.array([d or 0 for d in docs], np.int64).tobytes(), flags.astype(np.int64).tobytes(), _pack(texts))]
+        weight = np.repeat(learn, size)
+        for first, keys in ((0, now), (buckets, pairs)):
+            own, index = np.unique(keys, return_inverse=True)
+            c = np.bincount(index, weight, len(own)).astype(np.uint32)
+            for x, y in zip(*map(np.ndarray.tolist, _cuts(own >> shift)), strict=True):
+                rows.append((first + int(own[x] >> shift), number, _packed(own[x:y]), c[x:y].tobytes(), b""))
+        return pd.DataFrame(rows, columns=["bucket", "block", "a", "b", "c"])
 
     def run(batches):
         numbers, hasher = counter(TaskContext.get().partitionId() << 24), WordHasher()
@@ -203,9 +207,8 @@ _PARTS = "kind string, block long, n long, v long, a binary, b binary, c binary"
 def _count(buckets: int, probe: bool):
     """Sums the counts of one bucket, builds its filter and, if asked, probes it for every block.
 
-    kind words, pairs: the filter of hash range n; total: n tokens, v distinct words; docs: of a block's documents,
-    the sum of log10(c + 0.5) and the number of known tokens; list: a block's documents, as they came; word levels,
-    pair levels: of a block's keys in hash range n.
+    kind words, pairs: the filter of hash range n; total: n tokens, v distinct words; list: a block's documents, as they
+    came; word counts, word levels, pair levels: of a block's keys in hash range n.
     """
     columns = ["kind", "block", "n", "v", "a", "b", "c"]
 
@@ -213,32 +216,21 @@ def _count(buckets: int, probe: bool):
         bucket = int(pdf["bucket"].iloc[0])
         if bucket < 0:
             return pdf.assign(kind="list", n=0, v=0)[columns]
-        kind, levels = ("words", WORD_LEVELS) if bucket < buckets else ("pairs", PAIR_LEVELS)
-        hashes = [np.frombuffer(x, np.uint64) for x in pdf["a"]]
+        kind, levels = ("word", WORD_LEVELS) if bucket < buckets else ("pair", PAIR_LEVELS)
+        hashes = [_keys(x) for x in pdf["a"]]
         h, index = np.unique(np.concatenate(hashes), return_inverse=True)
-        index = index.astype(np.int32)
-        cuts = np.cumsum([len(x) for x in hashes])[:-1]
-        c, rows = np.zeros(len(h), np.int64), []
-        if kind == "pairs":
-            np.add.at(c, index, np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["b"]]).astype(np.int64))
-        else:
-            parts = []
-            for i, per, owner, tf in zip(np.split(index, cuts), pdf["b"], pdf["c"], pdf["d"], strict=True):
-                word = np.repeat(i, np.frombuffer(per, np.uint32))
-                owner, tf = np.frombuffer(owner, np.uint32), np.frombuffer(tf, np.uint32)
-                c += np.bincount(word, tf * (owner & 1), len(h)).astype(np.int64)
-                parts.append((word, owner >> 1, tf))
-            known, logs = c > 0, np.log10(c + 0.5)
-            rows.append(("total", -1, int(c.sum()), int(known.sum()), b"", b"", b""))
-            for block, (word, doc, tf) in zip(pdf["block"].tolist(), parts, strict=True):
-                n = int(doc.max()) + 1
-                rows.append(("docs", block, n, 0, np.bincount(doc, tf * logs[word], n).tobytes(), np.bincount(doc, tf * known[word], n).astype(np.uint32).tobytes(), b""))
+        parts = np.split(index.astype(np.int32), np.cumsum([len(x) for x in hashes])[:-1])
+        del hashes, index
+        c = np.zeros(len(h), np.int64)
+        for i, b in zip(parts, pdf["b"], strict=True):
+            c[i] += np.frombuffer(b, np.uint32)  # the keys of a block are distinct
         bloom = BloomCounts.of(h[c > 0], np.searchsorted(levels, c[c > 0], side="right"))
+        back = lambda name, by: [(name, block, bucket % buckets, 0, by[i].tobytes(), b"", b"") for block, i in zip(pdf["block"].tolist(), parts, strict=True)]
+        rows = [("total", -1, int(c.sum()), int((c > 0).sum()), b"", b"", b""), *back("word counts", c)] if kind == "word" else []
         if probe:
-            level = bloom.level_of(h)
-            rows += [(f"{kind[:-1]} levels", block, bucket % buckets, 0, level[i].tobytes(), b"", b"") for block, i in zip(pdf["block"].tolist(), np.split(index, cuts), strict=True)]
+            rows += back(f"{kind} levels", bloom.level_of(h))
         else:
-            rows.append((kind, -1, bucket % buckets, 0, bloom.bits.tobytes(), b"", b""))
+            rows.append((f"{kind}s", -1, bucket % buckets, 0, bloom.bits.tobytes(), b"", b""))
         return pd.DataFrame(rows, columns=columns)
 
     return run
@@ -248,27 +240,23 @@ _SCORED = "docs binary, flags binary, base binary, known binary, word binary, pa
 
 
 def _assemble(sent):
-    """Joins what came back for one block: its documents' sums, and the levels of its tokens and of their pairs.
+    """Joins what came back for one block: the counts of its words, the levels of its tokens and of their pairs.
 
     sent: the broadcast filters (words, pairs) by hash range, or None where the levels came back, too.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf[pdf["kind"] == "list"].iloc[0]
-        docs = np.frombuffer(head["a"], np.int64)
-        base, known = np.zeros(len(docs)), np.zeros(len(docs), np.int64)
-        for n, a, b in pdf.loc[pdf["kind"] == "docs", ["n", "a", "b"]].itertuples(index=False):
-            base[:n] += np.frombuffer(a, np.float64)
-            known[:n] += np.frombuffer(b, np.uint32)
-        now, _, pairs = token_hashes(_unpack(head["c"], len(docs)), WordHasher())
-        out = []
-        for k, (kind, keys) in enumerate((("word levels", now), ("pair levels", pairs))):
+        came = lambda kind, dtype: np.concatenate([np.frombuffer(x, dtype) for x in pdf[pdf["kind"] == kind].sort_values("n")["a"]])
+        size = np.frombuffer(head["b"], np.int64) >> 2
+        now, _, pairs = token_hashes(_unpack(head["c"], len(size)), WordHasher())
+        owner, out = np.repeat(np.arange(len(size)), size), []
+        for k, (kind, keys) in enumerate((("word", now), ("pair", pairs))):
             u, index = np.unique(keys, return_inverse=True)
-            if sent is None:
-                came = pdf[pdf["kind"] == kind].sort_values("n")
-                level = np.concatenate([np.frombuffer(x, np.uint8) for x in came["a"]])
-            else:
-                level = _levels(sent.value[k], u)
+            if kind == "word":
+                c = came("word counts", np.int64)
+                base, known = np.bincount(owner, np.log10(c + 0.5)[index], len(size)), np.bincount(owner, (c > 0)[index], len(size)).astype(np.int64)
+            level = came(f"{kind} levels", np.uint8) if sent is None else _levels(sent.value[k], u)
             out.append(zstandard.ZstdCompressor(1).compress(level[index].tobytes()))
         return pd.DataFrame([(head["a"], head["b"], base.tobytes(), known.tobytes(), *out)], columns=["docs", "flags", "base", "known", "word", "pair"])
 
@@ -340,10 +328,10 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     (N = 0, V = 0).  A text of any length is one document of a block; it is held as arrays of 8 bytes a token.
     Columns beside doc_id and text are not read.
     """
-    small_batches(documents.sparkSession)
+    small_batches(documents.sparkSession, 128)  # rows of blocks have tens of kilobytes
     docs = documents.select("doc_id", "text")
     total_bytes = text_bytes(docs)
-    buckets, near = bucket_count(1.8 * total_bytes, BUCKET_BYTES), total_bytes <= BROADCAST_TEXT
+    buckets, near = bucket_count(2.4 * total_bytes, BUCKET_BYTES), total_bytes <= BROADCAST_TEXT
     own = F.when(F.col("bucket") < 0, F.col("block"))  # the lists of documents stay apart
     parts = materialize(_blocks(docs, buckets).groupBy("bucket", own.alias("own")).applyInPandas(_count(buckets, not near), _PARTS), "ngram")
     total = parts.filter("kind = 'total'").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
