@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = r"\p{L}+|[0-9]+"
@@ -20,6 +20,49 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return docs.select(key, F.posexplode(token_array(F.col(text))).alias("pos", "tok"))
 
 
+#: All of a text: runs of ASCII letters, of digits, of other letters; each mark; each run of white space as one blank.
+PIECES = r"[A-Za-z]+|[0-9]+|[^\x00-\x7F]+|[!-/:-@\[-`{-~]|\s+"
+
+
+def pieces(text: Column) -> Column:
+    """All tokens of a text, marks and blanks included, in its own case."""
+    return F.transform(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), lambda t: F.regexp_replace(t, r"^\s+$", " "))
+
+
+def document_tokens(text: Column, spaces: bool = False) -> Column:
+    """Tokens of document texts: runs without white space and ASCII marks, the marks, and blanks if asked for."""
+    return F.regexp_extract_all(text, F.lit(r"[^\s!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]" + (r"|\s" if spaces else "")), F.lit(0))
+
+
+def space_tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, off, tok): words between white space, with the offset of their first character."""
+    parts = docs.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(r"\s+|\S+"), F.lit(0))).alias("k", "tok"))
+    before = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("off", F.coalesce(F.sum(F.length("tok")).over(before), F.lit(0)))
+    words = placed.filter(~F.col("tok").rlike(r"^\s"))
+    return words.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("k")) - 1).cast("long").alias("pos"), F.col("off").cast("long").alias("off"), "tok")
+
+
+def retokenised(words: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, sub, off, tok): space tokens that are no known word cut by the default tokenizer, others whole.
+
+    words: as of space_tokens; vocab: (tok).
+    """
+    known = vocab.select(F.col("tok").alias("low"), F.lit(True).alias("known"))
+    both = words.withColumn("low", F.lower("tok")).join(known, "low", "left")
+    cut = both.withColumn("ps", F.when(F.col("known"), F.array("tok")).otherwise(pieces(F.col("tok"))))
+    # pieces are short: the offset inside a word is the length of the pieces before
+    off = lambda i: F.aggregate(F.slice("ps", F.lit(1), i), F.lit(0), lambda acc, p: acc + F.length(p))
+    parts = cut.select(key, "pos", "off", F.posexplode(F.transform("ps", lambda p, i: F.struct(p.alias("tok"), off(i).alias("in")))).alias("sub", "p"))
+    return parts.select(key, "pos", F.col("sub").cast("long").alias("sub"), (F.col("off") + F.col("p.in")).cast("long").alias("off"), F.col("p.tok").alias("tok"))
+
+
+def grouped_number(text: Column) -> Column:
+    """A number in groups of three digits (comma, blank or quote between) with an optional fraction; null for others."""
+    shape = r"^[0-9]{1,3}([, '][0-9]{3})+(\.[0-9]+)?$"
+    return F.when(text.rlike(shape), F.regexp_replace(text, "[, ']", "").cast("double")).when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), text.cast("double"))
+
+
 def number_class(tok: Column) -> Column:
     """int, real or word: at most 10 digits (10 only below 3e9), a leading zero only in one or two digits."""
     is_int = tok.rlike("^[0-9]+$") & (F.length(tok) <= 10) & ~((F.length(tok) == 10) & (F.substring(tok, 1, 1) >= "3")) & ~(tok.startswith("0") & (F.length(tok) >= 3))
@@ -31,31 +74,6 @@ def plain_punctuation(text: Column) -> Column:
     return F.translate(text, "‘’“”–—", "''\"\"--")
 
 
-def singular(w: Column) -> Column:
-    """English plural endings off (words longer than five letters)."""
-    return (
-        F.when(F.length(w) <= 5, w)
-        .when(w.endswith("us") | w.endswith("ss"), w)
-        .when(w.endswith("ches"), F.regexp_replace(w, "es$", ""))
-        .when(w.endswith("ies"), F.regexp_replace(w, "ies$", "y"))
-        .when(w.endswith("puses") | w.endswith("lluses"), F.regexp_replace(w, "es$", ""))
-        .when(w.endswith("s"), F.regexp_replace(w, "s$", ""))
-        .otherwise(w)
-    )
-
-
-def present(w: Column) -> Column:
-    """English past-tense endings off; -ing stays."""
-    return (
-        F.when(F.length(w) <= 5, w)
-        .when(w.endswith("ied"), F.regexp_replace(w, "ied$", "y"))
-        .when(w.endswith("ued"), F.regexp_replace(w, "ued$", "ue"))
-        .when(w.rlike("[aeiou][bcdfgklmnprstvz]ed$"), F.regexp_replace(w, "ed$", "e"))
-        .when(w.endswith("ed"), F.regexp_replace(w, "ed$", ""))
-        .otherwise(w)
-    )
-
-
 def collapsed(w: Column) -> Column:
     """Adjacent repeats of a character as one."""
     chars = F.split(w, "")

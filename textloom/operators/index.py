@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +110,14 @@ def tagged_any(doc_tags: DataFrame, tags: list[str]) -> DataFrame:
     return doc_tags.filter(F.col("tag").isin(tags)).select("doc_id").distinct()
 
 
+def filtered(docs: DataFrame, filters: list[tuple[str, str, tuple]]) -> DataFrame:
+    """Documents that pass all filters (property, op, values); a filter of a property that the table lacks is left out."""
+    for prop, op, values in filters:
+        if prop in docs.columns:
+            docs = docs.filter(predicate(op, F.col(prop), *values))
+    return docs
+
+
 def predicate(op: str, prop: Column, *values) -> Column:
     """Property filters; a missing property is false.  between is inclusive as a range, exclusive as `inside`."""
     made = {
@@ -134,10 +144,96 @@ def query_grams(items: DataFrame) -> DataFrame:
     return tokens(items, "item_id").select("item_id", F.col("tok").alias("gram")).distinct()
 
 
-def keyword_grams(docs: DataFrame) -> DataFrame:
-    """(gram, n): bigrams that occur wherever any of their words does (compared by numbers of documents)."""
-    one = postings(docs, 1).groupBy("gram").agg(F.count("*").alias("n"))
-    two = postings(docs, 2).groupBy("gram").agg(F.count("*").alias("n"))
-    parts = two.select("gram", "n", F.split("gram", " ")[0].alias("a"), F.split("gram", " ")[1].alias("b"))
-    a, b = one.select(F.col("gram").alias("a"), F.col("n").alias("na")), one.select(F.col("gram").alias("b"), F.col("n").alias("nb"))
-    return parts.join(a, "a").join(b, "b").filter("n = na AND n = nb AND n >= 2").select("gram", "n")
+def weighted_postings(rows: DataFrame, counted: bool = True) -> DataFrame:
+    """(gram, doc_id, weight, cnt, pos, len): one link per gram and document of rows (gram, doc_id, weight, pos, len).
+
+    The weight is the largest, place and length are those of the earliest occurrence.  Rows may carry `override` (a
+    weight that wins; of several the largest) and `pinned` (such rows count once a link, however many they are);
+    without counted every link counts once.
+    """
+    more = {"override": F.lit(None).cast("int"), "pinned": F.lit(False)}
+    own = rows.select("gram", "doc_id", "weight", "pos", "len", *[F.col(k) if k in rows.columns else v.alias(k) for k, v in more.items()])
+    n = F.sum(F.when(F.col("pinned"), 0).otherwise(1)) + F.max(F.when(F.col("pinned"), 1).otherwise(0))
+    at = F.min(F.struct("pos", "len")).alias("at")
+    made = own.groupBy("gram", "doc_id").agg(F.coalesce(F.max("override"), F.max("weight")).alias("weight"), (n if counted else F.lit(1)).cast("long").alias("cnt"), at)
+    return made.select("gram", "doc_id", "weight", "cnt", "at.pos", "at.len")
+
+
+def stored(links: DataFrame, path: str) -> None:
+    """Writes postings by hash range of their grams, each file by weight (largest first), then document, so that a
+    search reads few files' parts."""
+    links.repartitionByRange("gram").sortWithinPartitions("gram", F.desc("weight"), "doc_id").write.mode("overwrite").parquet(path)
+
+
+def entity_boost(generic: Column) -> Column:
+    """Boost of an entity feature of a generic class of so many links: 0.9 to the power of 4 at least, of 5 at most."""
+    extra = -F.least(generic, F.lit(5))
+    return F.when(generic > 0, F.pow(F.lit(0.9), F.abs(F.least(extra, F.lit(-4))))).otherwise(F.lit(1.0))
+
+
+def class_boost(kind: Column) -> Column:
+    """Boost of a feature by its class; 1 for classes without one."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CLASS_BOOST.items() for x in kv]), kind), F.lit(1.0))
+
+
+def bead_features(rows: DataFrame, stop: DataFrame | None = None, groups: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """(doc_id, gram, size, pos): unigrams to `most`-grams of beads (doc_id, pos, tok, kind), in order.
+
+    Words with one meaning count as their group (groups: word, meaning); whole numbers as themselves, others in
+    thousandths; marks, fluff and blanks are left out.  A gram that ends in a stop word (stop: tok), and a stop word
+    alone, is none.
+    """
+    own = rows.filter(~F.col("kind").isin("punct", "fluff", "blank"))
+    number = F.when(F.col("kind") == "number", F.concat(F.lit("#"), F.round(F.col("tok").cast("double") * 1000).cast("long").cast("string")))
+    own = own.withColumn("feature", F.coalesce(number, F.col("tok")))
+    if groups is not None:
+        single = groups.groupBy("word").agg(F.countDistinct("meaning").alias("k"), F.min("meaning").alias("meaning")).filter("k = 1")
+        own = own.join(single.select(F.col("word").alias("tok"), "meaning"), "tok", "left").withColumn("feature", F.coalesce(F.concat(F.lit("@"), "meaning"), "feature"))
+    own = own.withColumn("ends", F.lit(True))
+    if stop is not None:
+        own = own.drop("ends").join(stop.select("tok", F.lit(True).alias("stopped")).distinct(), "tok", "left").withColumn("ends", F.col("stopped").isNull())
+    listed = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "feature", "ends"))).alias("b"))
+
+    def grams(n: int) -> DataFrame:
+        text = lambda i: F.array_join(F.transform(F.slice("b", i + 1, n), lambda x: x["feature"]), " ")
+        made = F.transform(F.sequence(F.lit(0), F.size("b") - n), lambda i: F.struct(text(i).alias("gram"), F.get("b", i)["pos"].alias("pos"), F.get("b", i + n - 1)["ends"].alias("ends")))
+        return listed.filter(F.size("b") >= n).select("doc_id", F.explode(made).alias("g"), F.lit(n).alias("size"))
+
+    return reduce(DataFrame.unionByName, map(grams, range(1, most + 1))).filter("g.ends").select("doc_id", F.col("g.gram").alias("gram"), "size", F.col("g.pos").cast("long").alias("pos"))
+
+
+def kept_spelling(rows: DataFrame) -> DataFrame:
+    """rows (.., word, stem, correction) with `tok`: the stem where it is nearer to the word than the correction is."""
+    near = F.levenshtein("word", "stem") < F.levenshtein("word", "correction")
+    return rows.withColumn("tok", F.when(F.col("correction").isNull(), F.coalesce("stem", "word")).when(near, F.col("stem")).otherwise(F.col("correction")))
+
+
+def title_weights(docs: DataFrame, title: Column) -> DataFrame:
+    """(doc_id, length, adjust, to_average): the weight 2 / (1 + sqrt(length)) of a title, and its length to the mean."""
+    own = docs.select("doc_id", F.length(title).alias("length"))
+    mean = own.filter("length > 0").agg(F.avg("length").alias("mean"))
+    return own.join(F.broadcast(mean), how="left").select("doc_id", F.col("length").cast("long").alias("length"), F.round(2 / (1 + F.sqrt("length")), 6).alias("adjust"), F.round(F.col("length") / F.col("mean"), 6).alias("to_average"))  # one row
+
+
+def listed(docs: DataFrame, mode: str = "all", names: list | None = None) -> DataFrame:
+    """(doc_id, score): all documents, those of the ids (byid) or those of the names in `name` (standard), with score 1."""
+    own = {"all": lambda: docs, "byid": lambda: docs.filter(F.col("doc_id").isin(names or [])), "standard": lambda: docs.filter(F.col("name").isin(names or []))}[mode]()
+    return own.select("doc_id", F.lit(1.0).alias("score"))
+
+
+def answered_search(hits: DataFrame, docs: DataFrame, chunks: DataFrame | None = None, used: DataFrame | None = None) -> DataFrame:
+    """(item_id, answer): a JSON object per query: documents by rank with title and score, chunks and traces if given.
+
+    hits: (item_id, doc_id, score, rank); docs: (doc_id, title); chunks: (item_id, doc_id, rank, pos, weight); used:
+    (item_id, trace).  Only the hits' documents are joined.
+    """
+    own = hits.join(docs.select("doc_id", "title"), "doc_id", "left")
+    fields = ["rank", "doc_id", "title", "score"]
+    if chunks is not None:
+        listed_ = chunks.join(hits.select("item_id", "doc_id"), ["item_id", "doc_id"]).groupBy("item_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "pos", "weight"))).alias("chunks"))
+        own, fields = own.join(listed_, ["item_id", "doc_id"], "left"), [*fields, "chunks"]
+    made = own.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("docs"))
+    head = [F.col("item_id").alias("qid"), "docs"]
+    if used is not None:
+        made, head = made.join(used.select("item_id", "trace"), "item_id", "left"), [*head, "trace"]
+    return made.select("item_id", F.to_json(F.struct(*head)).alias("answer"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trigrams
+from ..functions.words import sound, to_latin
 
 COVERAGE_LEAST, COVERAGE_DROP, RANK_DROP, NAMES_MOST = 0.3, 0.1, 0.15, 64
 CIRCUMFERENCE_KM = 40000.0
@@ -46,15 +48,136 @@ def match_names(names: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.withColumn("best", top).filter(F.col("best") - F.col("coverage") <= COVERAGE_DROP + 1e-9).select("qid", "name", "shared", "relevance", "coverage")
 
 
-def ranked_names(hits: DataFrame, rank: DataFrame) -> DataFrame:
-    """(qid, name, score, rank): coverage * (1 + popularity), shorter names first; cut where the drop is too large.
+SOUND_SHARE, SOUND_BELOW = 0.98, 0.85
 
-    rank: (name, pop).
+
+def match_sounds(names: DataFrame, queries: DataFrame) -> DataFrame:
+    """As match_names, and for queries whose best coverage is below SOUND_BELOW (or that have none) also by sound.
+
+    By sound, the words of names and queries are compared as they sound, with SOUND_SHARE of the coverage; a name that
+    matches both ways counts with its larger coverage.
+    """
+    straight = match_names(names, queries)
+    sounds = lambda c: F.array_join(F.transform(F.split(normalised(to_latin(c)), " "), lambda w: sound(w, 4)), " ")
+    poor = straight.groupBy("qid").agg(F.max("coverage").alias("best")).filter(F.col("best") >= SOUND_BELOW)
+    asked = queries.join(poor, "qid", "left_anti").select("qid", sounds(F.col("q")).alias("q"))
+    own = names.select(normalised(F.col("name")).alias("name")).distinct()
+    heard = match_names(own.select(sounds(F.col("name")).alias("name")), asked).withColumnRenamed("name", "s")
+    back = heard.join(own.withColumn("s", normalised(sounds(F.col("name")))), "s").withColumn("coverage", F.round(F.col("coverage") * SOUND_SHARE, 6))
+    both = straight.unionByName(back.select(*straight.columns))
+    best = both.groupBy("qid", "name").agg(F.max(F.struct("coverage", "shared", "relevance")).alias("b")).select("qid", "name", "b.*")
+    top = F.max("coverage").over(Window.partitionBy("qid"))
+    return best.withColumn("top", top).filter(F.col("top") - F.col("coverage") <= COVERAGE_DROP + 1e-9).select(*straight.columns)
+
+
+#: From this length on a query's longest common part with a name counts; the curve of its weight.
+LONG_QUERY, CURVE_AT, CURVE_WIDTH, CURVE_SHARE = 10, 0.5, 0.1, 0.7
+
+
+def longest_common(a: str, b: str) -> int:
+    """Length of the longest common substring."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        best = max(best, max(row))
+    return best
+
+
+def boosted_long(hits: DataFrame) -> DataFrame:
+    """hits (qid, q, name, coverage, ..) of queries of LONG_QUERY letters and more with a coverage raised by the share of
+    the query that its longest common part with the name has: 1 - (1 - coverage) * (1 - CURVE_SHARE * curve(share))."""
+    @F.pandas_udf("double")
+    def common(q: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([longest_common(a, b) / len(a) if a else 0.0 for a, b in zip(q, name, strict=True)], dtype="float64")
+
+    share = common(normalised(F.col("q")), F.col("name"))
+    curve = 1 / (1 + F.exp(-(share - CURVE_AT) / CURVE_WIDTH))
+    raised = F.round(1 - (1 - F.col("coverage")) * (1 - CURVE_SHARE * curve), 6)
+    return hits.withColumn("coverage", F.when(F.length("q") >= LONG_QUERY, raised).otherwise(F.col("coverage")))
+
+
+STEP_DROP = 0.8
+
+
+def ranked_names(hits: DataFrame, rank: DataFrame, cut: bool = True) -> DataFrame:
+    """(qid, name, score, rank): coverage * (1 + popularity), shorter names first.
+
+    rank: (name, pop).  The list ends where the score is RANK_DROP below the first or STEP_DROP below the one before,
+    unless cut is false; NAMES_MOST at most.
     """
     scored = hits.join(rank, "name").withColumn("score", F.round(F.col("coverage") * (1 + F.col("pop")), 6))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.length("name"), "name")
-    out = scored.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("lead", F.first("score").over(w))
-    return out.filter((F.col("lead") - F.col("score") <= RANK_DROP) & (F.col("rank") <= NAMES_MOST)).select("qid", "name", "score", "rank")
+    out = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= NAMES_MOST)
+    if cut:
+        drop = (F.first("score").over(w) - F.col("score") > RANK_DROP) | (F.coalesce(F.lag("score").over(w), F.col("score")) - F.col("score") > STEP_DROP)
+        out = out.withColumn("over", drop.cast("int")).withColumn("over", F.max("over").over(w)).filter("over = 0")
+    return out.select("qid", "name", "score", "rank")
+
+
+def rewritten_query(q: Column, rules: list[tuple[str, str]]) -> Column:
+    """A query after mandatory replacements (pattern, replacement), one after the other."""
+    for pattern, replacement in rules:
+        q = F.regexp_replace(q, pattern, replacement)
+    return q
+
+
+def id_search(entities: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, cls, sub, id, coverage): trigram search of queries (qid, cls, sub, q) over the ids of their class.
+
+    entities: (cls, sub, id).
+    """
+    ids = entities.select("cls", "sub", "id", F.concat_ws("|", "cls", "sub").alias("k")).distinct()
+    grams = ids.select("k", "cls", "sub", "id", F.explode(trigrams(F.lower("id"))).alias("g"))
+    asked = queries.select("qid", F.concat_ws("|", "cls", "sub").alias("k"), trigrams(F.lower("q")).alias("gs")).select("qid", "k", F.size("gs").alias("n"), F.explode("gs").alias("g"))
+    met = asked.join(grams, ["k", "g"]).groupBy("qid", "n", "cls", "sub", "id").agg(F.count("*").alias("shared"))
+    rated = met.withColumn("coverage", F.round(F.col("shared") / F.col("n"), 6)).filter(F.col("coverage") >= COVERAGE_LEAST)
+    return rated.select("qid", "cls", "sub", "id", "coverage")
+
+
+def post_parse_queries(beads: DataFrame, names: DataFrame) -> DataFrame:
+    """(qid, q): a query's text with every named entity by each of its names in turn.
+
+    beads: (qid, pos, word, cls, sub, id): words, or entities.  names: (cls, sub, id, name).  A query has as many texts
+    as the product of the numbers of names, so it is cut at NAMES_MOST texts, in the order of names.
+    """
+    keyed = beads.join(names, ["cls", "sub", "id"], "left").groupBy("qid", "pos").agg(F.array_sort(F.collect_set(F.coalesce("name", "word"))).alias("alts"))
+    parts = keyed.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "alts"))).alias("parts"))
+    one = F.expr("array('')")
+    grown = lambda acc, p: F.slice(F.flatten(F.transform(acc, lambda t: F.transform(p["alts"], lambda a: F.trim(F.concat(t, F.lit(" "), a))))), 1, NAMES_MOST)
+    return parts.select("qid", F.explode(F.aggregate("parts", one, grown)).alias("q"))
+
+
+#: Fixed value: letters up to which a query is searched among names unasked.
+SEARCHED_LENGTH = 34
+
+
+def searched(q: Column, mode: str = "auto") -> Column:
+    """Whether a query is searched among names: always, never, or (auto) by its length or when it looks like an id:
+    one word of four characters or more with a digit."""
+    looks = q.rlike(r"^\S*[0-9]\S*$") & (F.length(q) >= 4)
+    return {"always": F.lit(True), "never": F.lit(False)}.get(mode, (F.length(q) < SEARCHED_LENGTH) | looks)
+
+
+def islands(queries: DataFrame, names: DataFrame, least: int = 2) -> DataFrame:
+    """(qid, name, first, last): longest runs of a query's trigrams that one name has, with one gap of a gram allowed.
+
+    Positions are those of the grams in the query; runs of fewer than `least` grams are left out.  A run is a maximal
+    stretch of positions whose neighbours are at most two apart, with at most one gap.
+    """
+    padded = F.concat(F.lit(" "), normalised(F.col("q")), F.lit(" "))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - 2, F.lit(1))), lambda i: F.substr("p", i, F.lit(3)))
+    asked = queries.select("qid", padded.alias("p")).select("qid", F.posexplode(grams).alias("pos", "gram"))
+    hits = asked.join(name_grams(names), "gram").select("qid", "name", "pos").distinct()
+    at = F.array_sort(F.collect_set("pos"))
+    empty = F.expr("cast(array() as array<struct<first:int,last:int,n:int,gap:int>>)")
+    last = lambda acc: F.element_at(acc, -1)
+    step = lambda acc, x: x - last(acc)["last"] - 1
+    put = lambda first, x, n, gap: F.struct(first.alias("first"), x.alias("last"), n.alias("n"), gap.alias("gap"))
+    joins = lambda acc, x: (F.size(acc) > 0) & (step(acc, x) + last(acc)["gap"] <= 1)
+    longer = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(put(last(acc)["first"], x, last(acc)["n"] + 1, last(acc)["gap"] + step(acc, x))))
+    fold = lambda acc, x: F.when(joins(acc, x), longer(acc, x)).otherwise(F.concat(acc, F.array(put(x, x, F.lit(1), F.lit(0)))))
+    runs = hits.groupBy("qid", "name").agg(at.alias("at")).select("qid", "name", F.explode(F.aggregate("at", empty, fold)).alias("r")).filter(F.col("r.n") >= least)
+    return runs.withColumn("k", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("r.n")))).filter("k = 1").select("qid", "name", F.col("r.first").cast("long").alias("first"), F.col("r.last").cast("long").alias("last"))
 
 
 PREFIX_KEY = 3  # letters by which names and prefixes meet before the prefix test
@@ -78,6 +201,37 @@ def best_names(rated: DataFrame, most: int = 10) -> DataFrame:
     return rated.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most).select("prefix", "name", "rank")
 
 
+def completions(paths: DataFrame, prefixes: DataFrame, most: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+    """(prefix, name, rank): entities of rule paths that a prefix begins; 100 a further word plus the rest of the word
+    begun, less relevance, is the length of the way.
+
+    paths: (path, name, cls, relevance): a path's words joined by blanks.  allowed: (cls) of classes that are asked for.
+    """
+    own = paths if allowed is None else paths.join(allowed.select("cls").distinct(), "cls", "left_semi")
+    key = F.sequence(F.lit(1), F.lit(PREFIX_KEY))
+    keyed = own.select("*", F.explode(F.transform(key, lambda n: F.when(F.length("path") >= n, F.substr("path", F.lit(1), n)))).alias("k")).filter("k IS NOT NULL")
+    hits = keyed.join(prefixes.withColumn("k", F.substring("prefix", 1, PREFIX_KEY)), "k").filter(F.col("path").startswith(F.col("prefix")))
+    rest = F.substr("path", F.length("prefix") + 1)
+    words = F.size(F.split(F.trim(rest), " ")) - F.when(F.trim(rest) == "", 1).otherwise(0)
+    begun = F.length(F.substring_index(rest, " ", 1))
+    return best_names(hits.groupBy("prefix", "name").agg(F.min(words * 100 + begun - F.col("relevance")).alias("w")), most)
+
+
+def completed_or_searched(completed: DataFrame, names: DataFrame, prefixes: DataFrame, most: int = 10, least: int = 4) -> DataFrame:
+    """completed (prefix, name, rank), filled up to `most` by name search for prefixes of `least` letters and more.
+
+    names: (name, relevance): the search's names follow, best coverage times popularity first.
+    """
+    held = completed.groupBy("prefix").agg(F.count("*").alias("n"))
+    short = prefixes.filter(F.length("prefix") >= least).join(held, "prefix", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(F.col("n") < most)
+    found = match_names(names, short.select(F.col("prefix").alias("qid"), F.col("prefix").alias("q"))).withColumnRenamed("qid", "prefix")
+    popular = names.groupBy(normalised(F.col("name")).alias("name")).agg(F.max("relevance").alias("popularity"))
+    more = found.join(popular, "name").join(completed.select("prefix", normalised(F.col("name")).alias("name")), ["prefix", "name"], "left_anti").join(short, "prefix")
+    place = F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc(F.round(F.col("coverage") * (1 + F.col("popularity")), 6)), F.length("name"), "name"))
+    filled = more.withColumn("rank", (F.col("n") + place).cast("long")).filter(F.col("rank") <= most).select("prefix", "name", "rank")
+    return completed.unionByName(filled)
+
+
 def topics(links: DataFrame, weight: float = 100.0) -> DataFrame:
     """(id, topic, weight): each linked entity adds `weight` to its topic."""
     return links.groupBy("id", "topic").agg((F.count("*") * weight).alias("weight"))
@@ -102,6 +256,16 @@ def near(points: DataFrame, lon: float, lat: float, degrees: float) -> DataFrame
     return points.filter((dy < degrees) & (dx < degrees)).withColumn("dist", F.round(F.sqrt(dx * dx + dy * dy), 6)).filter(F.col("dist") < degrees)
 
 
+def geo_filter(entities: DataFrame, points: DataFrame, lon: float, lat: float, degrees: float, subs: list[int] | None = None) -> DataFrame:
+    """Entities (.., sub, id, ..) but for those with coordinates farther away; without coordinates, or of other
+    subclasses than `subs` names, they stay."""
+    inside = near(points, lon, lat, degrees).select("id", F.lit(True).alias("inside"))
+    known = points.select("id", F.lit(True).alias("known")).distinct()
+    rated = entities.join(known, "id", "left").join(inside.distinct(), "id", "left")
+    concerned = F.lit(True) if subs is None else F.col("sub").isin(subs)
+    return rated.filter(~(concerned & F.coalesce("known", F.lit(False)) & ~F.coalesce("inside", F.lit(False)))).select(*entities.columns)
+
+
 def to_degrees(value: Column, unit: str) -> Column:
     """Kilometres, metres or miles along the equator as degrees."""
     per = {"deg": 1.0, "km": 360 / CIRCUMFERENCE_KM, "m": 0.36 / CIRCUMFERENCE_KM, "mile": 1.609344 * 360 / CIRCUMFERENCE_KM}[unit]

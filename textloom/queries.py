@@ -104,9 +104,10 @@ def tags_all(spark, d):
     return I.tagged_all(_tags(spark, d), ["en", "src0", "unknown"])
 
 
-@query("SELECT doc_id FROM documents WHERE false")
+@query("SELECT doc_id, 'known' AS asked FROM documents WHERE lang = 'en' AND source = 'src1' UNION ALL SELECT doc_id, 'unknown' FROM documents WHERE lang = 'en' AND source = 'src1' AND source = 'unknown'")
 def tags_all_strict(spark, d):
-    return I.tagged_all(_tags(spark, d), ["en", "src0", "unknown"], strict=True)
+    one = lambda *tags, name: I.tagged_all(_tags(spark, d), list(tags), strict=True).withColumn("asked", F.lit(name))
+    return one("en", "src1", name="known").unionByName(one("en", "src1", "unknown", name="unknown"))
 
 
 @query("SELECT doc_id FROM documents WHERE lang = 'fr' OR source = 'src1'")
@@ -144,24 +145,14 @@ def title_adjustment(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.round(2 / (1 + F.sqrt(F.length(title))), 6).alias("adjust"))
 
 
-@query(f"WITH {_DF}, two AS (SELECT DISTINCT doc_id, tok AS a, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM tok), c AS (SELECT a, b, count(*)::BIGINT AS n FROM two WHERE b IS NOT NULL GROUP BY ALL) SELECT a || ' ' || b AS gram, n FROM c JOIN dfs x ON x.gram = a JOIN dfs y ON y.gram = b WHERE n = x.df AND n = y.df AND n >= 2")
-def keyword_grams(spark, d):
-    return I.keyword_grams(_t(spark, d, "documents"))
-
-
-@query("SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g'))::BIGINT AS n FROM pages")
+@query("SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS plain FROM pages")
 def html_text(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.length(plain_html(F.col("html"))).cast("long").alias("n"))
+    return _t(spark, d, "pages").select("page_id", plain_html(F.col("html")).alias("plain"))
 
 
-@query(f"WITH {_TOK} SELECT doc_id, sum((regexp_matches(tok, '^[0-9]'))::INT)::BIGINT AS numbers, count(*)::BIGINT AS n FROM tok GROUP BY doc_id")
+@query(f"WITH {_TOK} SELECT doc_id, pos::BIGINT AS pos, tok FROM tok")
 def tokens_default(spark, d):
-    return X.tokens(_t(spark, d, "documents")).groupBy("doc_id").agg(F.sum(F.col("tok").rlike("^[0-9]").cast("int")).alias("numbers"), F.count("*").alias("n"))
-
-
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n]+'))::BIGINT AS n FROM documents")
-def tokens_space(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n]+"), F.lit(0))).cast("long").alias("n"))
+    return X.tokens(_t(spark, d, "documents")).select("doc_id", F.col("pos").cast("long").alias("pos"), "tok")
 
 
 @query(f"WITH {_TOK} SELECT DISTINCT tok, CASE WHEN regexp_matches(tok, '^[0-9]+$') AND length(tok) <= 10 AND NOT (length(tok) = 10 AND tok[1] >= '3') AND NOT (tok[1] = '0' AND length(tok) >= 3) THEN 'int' ELSE 'word' END AS cls FROM tok")
@@ -169,14 +160,6 @@ def number_classes(spark, d):
     return X.tokens(_t(spark, d, "documents")).select("tok").distinct().select("tok", X.number_class(F.col("tok")).alias("cls"))
 
 
-@query(f"""WITH {_TOK}, w AS (SELECT DISTINCT tok FROM tok WHERE regexp_matches(tok, '^[a-z]+$')) SELECT tok,
- CASE WHEN length(tok) <= 5 OR tok LIKE '%us' OR tok LIKE '%ss' THEN tok WHEN tok LIKE '%ches' THEN left(tok, -2) WHEN tok LIKE '%ies' THEN left(tok, -3) || 'y' WHEN tok LIKE '%puses' OR tok LIKE '%lluses' THEN left(tok, -2) WHEN tok LIKE '%s' THEN left(tok, -1) ELSE tok END AS one,
- CASE WHEN length(tok) <= 5 THEN tok WHEN tok LIKE '%ied' THEN left(tok, -3) || 'y' WHEN tok LIKE '%ued' THEN left(tok, -1) WHEN regexp_matches(tok, '[aeiou][bcdfgklmnprstvz]ed$') THEN left(tok, -1) WHEN tok LIKE '%ed' THEN left(tok, -2) ELSE tok END AS now FROM w""")
-def stems(spark, d):
-    w = X.tokens(_t(spark, d, "documents")).filter(F.col("tok").rlike("^[a-z]+$")).select("tok").distinct()
-    return w.select("tok", X.singular(F.col("tok")).alias("one"), X.present(F.col("tok")).alias("now"))
-
-
 @query(f"WITH {_TOK}, w AS (SELECT DISTINCT tok FROM tok) SELECT tok, list_aggregate(list_transform(list_filter(range(1, length(tok) + 1), lambda i: i = 1 OR tok[i] <> tok[i - 1]), lambda i: tok[i]), 'string_agg', '') AS one FROM w")
 def collapsed_repeats(spark, d):
     return X.tokens(_t(spark, d, "documents")).select("tok").distinct().select("tok", X.collapsed(F.col("tok")).alias("one"))
@@ -381,10 +364,9 @@ def json_answers(spark, d):
     return hits.groupBy("item_id").agg(F.to_json(F.struct(F.col("item_id").alias("qid"), F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("docs"))).alias("answer"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([^\s.]{4})\. ', '\1' || chr(10), 'g'), '[\n\r\t"'';:|()«»–]|  +')) AS p FROM documents) SELECT doc_id, count(*)::BIGINT AS n, max(length(trim(p)))::BIGINT AS longest FROM p WHERE trim(p) <> '' GROUP BY doc_id""")
+@query(r"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([^\s.]{4})\. ', '\1' || chr(10), 'g'), '[\n\r\t"'';:|()«»–]|  +')) AS p FROM documents) SELECT doc_id, trim(p) AS phrase FROM p WHERE trim(p) <> ''""")
 def phrase_breaks(spark, d):
-    p = _t(spark, d, "documents").select("doc_id", F.explode(X.phrases(F.col("text"))).alias("p"))
-    return p.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("p")).cast("long").alias("longest"))
+    return _t(spark, d, "documents").select("doc_id", F.explode(X.phrases(F.col("text"))).alias("phrase"))
 
 
 @query(f"WITH {_TF} SELECT doc_id, tok, round(tf, 9) AS tf FROM tf")
@@ -447,22 +429,22 @@ def has_topics(spark, d):
     return _topic_weights(spark, d).join(wanted, "topic", "left_semi").groupBy("id").agg(F.sum("weight").alias("weight")).filter("weight > 500")
 
 
-_SPOTS = _TOK + r", q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+|[0-9]+')) AS tok FROM benchmark WHERE item_id % 10 = 0), s AS (SELECT DISTINCT item_id, doc_id, pos FROM tok JOIN q USING (tok)), r AS (SELECT *, count(*) OVER (PARTITION BY item_id, doc_id ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS weight FROM s)"
+_SPOTS = _TOK + r", q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+|[0-9]+')) AS tok FROM benchmark), s AS (SELECT DISTINCT item_id, doc_id, pos FROM tok JOIN q USING (tok)), r AS (SELECT *, count(*) OVER (PARTITION BY item_id, doc_id ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS weight FROM s)"
 
 
-def _chunks(spark, d, items="true"):
+def _chunks(spark, d):
     t = X.tokens(_t(spark, d, "documents"))
-    return N.chunks(I.query_grams(_t(spark, d, "benchmark").filter(items)).withColumnRenamed("gram", "tok").join(t, "tok").select("item_id", "doc_id", "pos"), 20)
+    return N.chunks(I.query_grams(_t(spark, d, "benchmark")).withColumnRenamed("gram", "tok").join(t, "tok").select("item_id", "doc_id", "pos"), 20)
 
 
 @query(f"WITH {_SPOTS} SELECT item_id, doc_id, pos::BIGINT AS pos, weight::BIGINT AS weight FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY weight DESC, pos) AS k FROM r) WHERE k = 1")
 def best_chunk(spark, d):
-    return _chunks(spark, d, "item_id % 10 = 0").filter("rank = 1").drop("rank")
+    return _chunks(spark, d).filter("rank = 1").drop("rank")
 
 
 @query()
 def chunk_ranks(spark, d):
-    """All items and all places; best_chunk compares the first places of some items with SQL."""
+    """All places of all items; best_chunk compares the first places with SQL."""
     return _chunks(spark, d)
 
 
@@ -471,3 +453,6 @@ def weekday_dates(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("x"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("wd"))
     day = lambda f: V.mk_wday(F.lit(f), F.col("wd"), F.col("x"))
     return o.select("o_orderkey", day(1).alias("next_day"), day(-1).alias("last_day"), day(0).alias("this_day"))
+
+
+from . import queries_more  # noqa: E402, F401  registers more
