@@ -11,6 +11,7 @@ of each distinct word.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,10 @@ DECAY = 0.5
 #: Offsets of the second and third character, and the weight of the gap.
 SHAPES = [(a, b, DECAY ** (b - 2)) for b in (2, 3, 4) for a in range(1, b)]
 BITS = 18
+SURE = 0.8  # least share of toxic texts, after a margin for chance, on which every such word is an insult
+PURE = 0.9  # from this share of toxic texts on a word is no clean one, though some clean text has it
+COST = 400.0  # of all insults' errors together, and of all clean words', against the margin's width
+BENT = 0.3  # cost of bent spellings of insults, against 1 for the insults
 WIDTH = 34  # a longer word is read in overlapping windows of this many characters
 _END = re.compile(r"[.!?\n]+\s")
 
@@ -123,7 +128,7 @@ class KernelMachine:
 
 
 _MARKS = re.compile(r"[\W_]+")
-_INNER = re.compile(r"\w[\W_]+\w[\W_]+\w")  # a word taken apart by marks is also read without them
+_INNER = re.compile(r"[^\W_][\W_]+[^\W_]")  # a word with marks inside is also read without them
 _RUN = re.compile(r"(?:^|\s)\S\s\S\s\S(?:\s|$)")
 
 
@@ -175,16 +180,43 @@ def _kernel(words: list[str], rows: dict[int, int], lm: np.ndarray) -> np.ndarra
 
 
 def _stretched(words: list[str], rng) -> list[str]:
-    """Each word with one mark or one double of its letters inserted inside: variants that share its label."""
+    """Each word with one mark, one double of its letters and one other letter inserted: variants that share its label."""
     out = []
     for w in words:
-        if len(w) > 4:
-            i, j = rng.integers(2, len(w) - 1, 2)
-            out += [w[:i] + "*-._1"[int(rng.integers(5))] + w[i:], w[:j] + w[j - 1] + w[j:]]
+        if len(w) > 3:
+            i, j, k = rng.integers(1, len(w), 3)
+            letter = "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))]
+            out += [w[:i] + "*-._1"[int(rng.integers(5))] + w[i:], w[:j] + w[j - 1] + w[j:], w[:k] + letter + w[k:]]
     return out
 
 
-def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4) -> KernelMachine:
+def _spread(words: list[str], most: int) -> list[str]:
+    """The first word, then again and again the one least like those taken before."""
+    parts = sparse_features(words)
+    rows = {c: i for i, c in enumerate(sorted({int(c) for u, _ in parts for c in u}))}
+    flat = [np.array([rows[int(c)] for c in u], np.int64) for u, _ in parts]
+    near, taken = np.zeros(len(words)), [0]
+    while len(taken) < min(most, len(words)):
+        vector = np.zeros(len(rows))
+        vector[flat[taken[-1]]] = parts[taken[-1]][1]
+        near = np.maximum(near, [float(vector[f] @ v) for f, (_, v) in zip(flat, parts, strict=True)])
+        near[taken] = 2.0
+        taken.append(int(near.argmin()))
+    return [words[k] for k in taken]
+
+
+def _one_of_copies(texts: list[str], y: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """One text of those whose least hashed run of three words is the same: near copies count a word but once."""
+    seen: dict[tuple, int] = {}
+    for k, t in enumerate(texts):
+        w = t.lower().split()
+        least = min((zlib.crc32(" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 2))), default=0)
+        seen.setdefault((least, int(y[k])), k)
+    kept = list(seen.values())
+    return [texts[k] for k in kept], y[kept]
+
+
+def train(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4) -> KernelMachine:
     """Multiple-instance fit: a toxic text has at least one toxic word, a clean text none.
 
     With no texts, or one class only, the machine gives every text the smoothed share of ones.
@@ -194,6 +226,7 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4)
     flat = KernelMachine(bias=0.0, slope=1.0, offset=float(np.log(share / (1 - share))))
     if len(y) < 10 or y.min() == y.max():
         return flat
+    texts, y = _one_of_copies(texts, y)
     one_of: dict[str, str] = {}  # texts share words: each is held once
     bags = [{one_of.setdefault(w, w) for w in _plain(t) | {u for s in _END.split(t) if _has_runs(s) for u in units(s)}} for t in texts]
     clean_words: dict[str, int] = {}
@@ -202,8 +235,8 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4)
         into = toxic_words if label else clean_words
         for w in b:
             into[w] = into.get(w, 0) + 1
-    # Starting witnesses: of each toxic text, the word that toxic texts share most and clean ones never have,
-    # judged by the word itself and by its first four characters.
+    # Starting witnesses: words that toxic texts share and clean ones never have, judged by the word itself and by its
+    # first four characters.
     stem_t, stem_c = {}, {}
     for w, c in toxic_words.items():
         stem_t[w[:4]] = stem_t.get(w[:4], 0) + c
@@ -211,6 +244,22 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4)
         stem_c[w[:4]] = stem_c.get(w[:4], 0) + c
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
 
+    def purity(t: float, c: float) -> float:
+        """Share of toxic texts among those with a word, were both kinds equally many."""
+        a, b = (t + 0.1) / n1, (c + 0.1) / n0
+        return a / (a + b)
+
+    # labels err: a word, or the words of one beginning, that toxic texts have far more often is no clean word
+    for w in [w for w in clean_words if w in toxic_words or w[:4] in stem_t]:
+        own = toxic_words.get(w, 0) > 2 and purity(toxic_words[w], clean_words[w]) > PURE
+        if own or stem_t.get(w[:4], 0) > 4 and purity(stem_t[w[:4]], stem_c[w[:4]]) > PURE:
+            del clean_words[w]
+
+    def sure(w: str) -> bool:
+        """Whether the word, or the words of its beginning, are so much of toxic texts that chance is no reason."""
+        some = lambda t, c: t > 4 and purity(t - 1.6 * np.sqrt(t), c + 1) > SURE
+        return w not in clean_words and (some(toxic_words[w], 0) or some(stem_t[w[:4]], stem_c.get(w[:4], 0)))
+
     def odds(w: str) -> float:
         one = np.log((toxic_words.get(w, 0) + 0.1) / n1) - np.log((clean_words.get(w, 0) + 0.1) / n0)
         stem = np.log((stem_t.get(w[:4], 0) + 0.1) / n1) - np.log((stem_c.get(w[:4], 0) + 0.1) / n0)
@@ -218,10 +267,15 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4)
 
     rating = {w: odds(w) for w in toxic_words}
     toxic_bags = [b for b, label in zip(bags, y, strict=True) if label and b]
+    # every word that is surely one, or else the likeliest word of a text
+    certain = {w for w in toxic_words if sure(w)}
     witnesses: dict[str, int] = {}
     for b in toxic_bags:
-        w = max(b, key=lambda w: (rating[w], w))
-        if rating[w] > 1.5 and max(toxic_words[w], stem_t[w[:4]]) > 2:
+        own = b & certain
+        if not own:
+            w = max(b, key=lambda w: (rating[w], w))
+            own = {w} if rating[w] > 1.5 and max(toxic_words[w], stem_t[w[:4]]) > 2 else own
+        for w in own:
             witnesses[w] = witnesses.get(w, 0) + 1
     rng = np.random.default_rng(11)
     pool = sorted(clean_words, key=lambda w: (-clean_words[w], w))
@@ -234,8 +288,8 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4)
             return flat
         hit = set(positives)
         negatives = [w for w in dict.fromkeys(negatives) if w not in hit] or negatives
-        # Landmarks: frequent witnesses, then clean words close to them.
-        marks = positives[: landmarks * 2 // 3] + [negatives[i] for i in rng.permutation(len(negatives))[: landmarks // 3].tolist()]
+        # Landmarks: witnesses that lie far from each other, and clean words.
+        marks = _spread(positives[:2000], landmarks * 2 // 3) + [negatives[i] for i in rng.permutation(len(negatives))[: landmarks // 3].tolist()]
         lp = sparse_features(marks)
         rows = {c: i for i, c in enumerate(sorted({int(c) for u, _ in lp for c in u}))}
         lm = _dense(lp, rows).astype(float)
@@ -248,9 +302,10 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4)
         words = positives + bent + negatives + straight
         z = np.hstack([_kernel(words, rows, lm) @ root, np.ones((len(words), 1))])
         t = np.array([1.0] * (len(positives) + len(bent)) + [-1.0] * (len(negatives) + len(straight)))
-        mass = np.array([float(min(witnesses[w], 20)) for w in positives])
+        mass = np.array([float(min(witnesses[w], 200)) for w in positives])
         share_of = lambda n, part: np.full(n, part / max(1, n))
-        cost = 400.0 * np.concatenate([mass / mass.sum(), share_of(len(bent), 0.02), share_of(len(negatives), 1.0), share_of(len(straight), 0.1)])
+        often = np.sqrt([float(clean_words[w]) for w in negatives])  # a frequent clean word spoils many texts
+        cost = COST * np.concatenate([mass / mass.sum(), share_of(len(bent), BENT), often / often.sum(), share_of(len(straight), 0.1)])
         v = _newton_svm(z, t, cost)
         gamma = lm.T @ (root @ v[:-1])
         weights = np.zeros(1 << BITS, np.float32)
@@ -262,9 +317,9 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4)
         for b in toxic_bags:
             new = [w for w in b if w not in cache]
             cache.update(zip(new, machine.margins(new).tolist(), strict=True) if new else ())
-            for w in b:
-                if cache[w] > 0:
-                    witnesses[w] = witnesses.get(w, 0) + 1
+            own = b & certain or {w for w in b if w not in clean_words and cache[w] > 0 and cache[w] == max(map(cache.__getitem__, b))}
+            for w in own:
+                witnesses[w] = witnesses.get(w, 0) + 1
         wrong = []
         for i in range(0, len(every), 4096):
             part = every[i : i + 4096]
@@ -272,21 +327,32 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 96, rounds: int = 4)
             wrong += [(float(m[j]), part[j]) for j in np.argsort(-m)[:400].tolist() if m[j] > -0.7]
         wrong.sort(reverse=True)
         hard = [w for _, w in wrong[:3000]]
-        negatives = hard + negatives[: 9000 - len(hard)]
-        witnesses = {w: c for w, c in witnesses.items() if w not in clean_words}
+        negatives = hard + [w for w in negatives if w in clean_words][: 9000 - len(hard)]
     cache = {}
     m = np.array([machine.text_margin(t, cache) for t in texts])
-    # Platt scaling of the documents' margins.
+    # Platt scaling of the documents' margins gives the slope; one half lies where both kinds err least together.
     x, ab = np.stack([m, np.ones(len(m))], 1), np.array([3.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.3, 0.01])
         ab = ab - np.clip(np.linalg.solve(h, x.T @ (p - y) + np.array([0.3 * (ab[0] - 3.0), 0.01 * ab[1]])), -2, 2)
-    a, b = ab
-    machine.slope, machine.offset = float(max(a, 0.1)), float(b)
+    machine.slope = float(max(ab[0], 0.1))
+    machine.offset = -machine.slope * _threshold(m, y)
     return machine
 
 
+def _threshold(m: np.ndarray, y: np.ndarray) -> float:
+    """The margin that parts the kinds with the least sum of their error rates."""
+    order = np.argsort(m)
+    m, y = m[order], y[order]
+    missed, alarms = np.append(0, y.cumsum()) / y.sum(), 1 - np.append(0, (1 - y).cumsum()) / (1 - y).sum()
+    ends = np.append(np.append(m[0] - 1, m), m[-1] + 1)
+    cost = np.where(ends[1:] > ends[:-1], missed + alarms, 2.0)
+    best = np.flatnonzero(cost <= cost.min() + 1e-9)
+    k = best[(ends[1:] - ends[:-1])[best].argmax()]
+    return float((ends[k] + ends[k + 1]) / 2)
+
+
 def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> KernelMachine:
     """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0; `rows` bounds them, half of it toxic at most."""
     train_fold = fold_of(5) != 0
