@@ -26,10 +26,15 @@ def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); an own temporary one only where it is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); an own temporary one in local mode only.
+
+    On a cluster a folder of the driver's machine is not seen by executors, so a missing setting is an error there.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_scratch:
         _own_scratch.append("file://" + tempfile.mkdtemp(prefix="textloom-"))
     return _own_scratch[0]
@@ -59,6 +64,14 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_prefix(columns: list[str]) -> str:
+    """The shortest run of underscores that no column begins with: for columns that come and go."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def slot_of(bits: int, col: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(col), F.lit(bits))
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_prefix
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.4  # of the item's score against itself
 OVERLAP = 0.5  # of the trigrams of question and of answer
@@ -213,11 +215,13 @@ def _shards(items: DataFrame) -> list[list[tuple[int, str]]]:
 def with_leaks(documents: DataFrame, items: DataFrame, column: str = "_leaks") -> DataFrame:
     """Every row and column of documents, with an array of verified hits (item_id, score, overlaps), by item_id.
 
-    Null and empty texts have none; items without words or id match nothing; repeated rows are judged alike.
+    Null and empty texts have none; items without words or id match nothing; repeated rows are judged alike.  A column
+    of the caller's must not have the name of the new one.
     """
     out = documents  # an index of one shard goes with the task's closure
+    prefix = free_prefix([*documents.columns, column])
     for k, shard in enumerate(_shards(items)):
-        index, name = ItemIndex(shard), column if not k else f"{column}{k}"
+        index, name = ItemIndex(shard), column if not k else f"{prefix}{k}"
 
         def run(batches, index=index, name=name):
             for b in batches:
@@ -233,9 +237,7 @@ def with_leaks(documents: DataFrame, items: DataFrame, column: str = "_leaks") -
 
 def clean(documents: DataFrame, items: DataFrame) -> DataFrame:
     """documents without the rows that hold a test item."""
-    column = "_leaks"
-    while column in documents.columns:
-        column += "_"
+    column = free_prefix(documents.columns) + "leaks"
     return with_leaks(documents, items, column).filter(F.size(column) == 0).drop(column)
 
 

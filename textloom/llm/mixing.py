@@ -9,6 +9,7 @@ of documents is shuffled.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -19,8 +20,8 @@ from .common import materialize, whole_text
 
 #: Labelled rows used for fitting, at most.
 FIT_ROWS = 4_000
-WORDS = 24  # indicative words, at most
-DOMAINS = 32  # domains, at most: the most frequent of the sample
+WORDS = 24  # indicative words, at most: they decide how sharp posteriors are, not which domains there are
+UNROLLED = 16  # domains up to which every posterior is an expression of its own; more are folded over an array
 ROUNDS = 20
 TOLERANCE = 1e-4
 MOST_EVIDENCE = 20.0  # words whose evidence counts, on average: keeps posteriors soft
@@ -43,7 +44,7 @@ class DomainModel:
     other: list[float] = field(default_factory=list)  # log P(any other word | domain)
 
     def posteriors(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """Adds `_n` (words) and `_p` (array of posteriors, in the order of domains)."""
+        """Adds `_n` (words) and `_p` (array of posteriors, in the order of domains); df has no columns of one underscore."""
         padded = F.concat(F.lit(" "), F.lower(whole_text(text)), F.lit(" "))
         out = df.withColumn("_n", token_count(text)).withColumn("_x", F.translate(padded, "\n\t\r.,", "     "))
         full = F.length("_x")
@@ -52,13 +53,21 @@ class DomainModel:
         seen = sum((F.col(f"_k.k{i}") for i in range(len(self.words))), F.lit(0.0))
         out = out.withColumn("_o", F.greatest(F.col("_n") - seen, F.lit(0.0)))
         scale = F.least(F.lit(1.0), F.lit(MOST_EVIDENCE) / F.greatest("_n", F.lit(1.0)))
-        logs = []
-        for d, prior in enumerate(self.priors):
-            total = F.col("_o") * self.other[d] if self.words else F.lit(0.0)
-            for i in range(len(self.words)):
-                total = total + F.col(f"_k.k{i}") * self.weights[i][d]
-            logs.append(F.lit(prior) + scale * total)
-        out = out.withColumn("_g", F.array(*logs)).drop("_k", "_o")
+        if len(self.domains) <= UNROLLED:
+            logs = []
+            for d, prior in enumerate(self.priors):
+                total = F.col("_o") * self.other[d] if self.words else F.lit(0.0)
+                for i in range(len(self.words)):
+                    total = total + F.col(f"_k.k{i}") * self.weights[i][d]
+                logs.append(F.lit(prior) + scale * total)
+            out = out.withColumn("_g", F.array(*logs)).drop("_k", "_o")
+        else:  # one array of logarithms a word: the plan does not grow with words times domains
+            arrays = lambda rows: F.from_json(F.lit(json.dumps(rows)), "array<array<double>>")
+            terms = F.array(*[F.col(f"_k.k{i}") for i in range(len(self.words))], F.col("_o"), F.lit(1.0) / F.greatest(scale, F.lit(1e-9)))
+            parts = F.arrays_zip(terms.alias("x"), arrays([*self.weights, self.other or [0.0] * len(self.domains), self.priors]).alias("w"))
+            add = lambda acc, t: F.zip_with(acc, t["w"], lambda a, w: a + scale * t["x"] * w)
+            zero = arrays([[0.0] * len(self.domains)])[0]
+            out = out.withColumn("_g", F.aggregate(parts, zero, add)).drop("_k", "_o")
         out = out.withColumn("_e", F.transform("_g", lambda g: F.exp(g - F.array_max("_g")))).drop("_g")
         return out.withColumn("_p", F.transform("_e", lambda e: e / F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))).drop("_e")
 
@@ -66,13 +75,14 @@ class DomainModel:
 def fit(documents: DataFrame, labels: DataFrame, domain: str = "lang", rows: int = FIT_ROWS) -> DomainModel:
     """Counts words by domain on documents that the labelled table names; at most `rows`, in the order of a hash.
 
-    Null domains are no evidence.  Without labelled rows there is one domain, `all`.
+    Null domains are no evidence; all others that the sample has are kept.  Without labelled rows there is one domain,
+    `all`.
     """
     ids = labels.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     docs = documents.select("doc_id", F.col(domain).cast("string").alias("domain"), F.lower(whole_text()).alias("text")).filter(F.col("domain").isNotNull())
     docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     sample = materialize(docs.select("domain", F.explode(_split(F.translate("text", ".,", "  "))).alias("word")).groupBy("domain", "word").agg(F.count("*").alias("c")), "mix-words")
-    sizes = [(r["domain"], r["c"]) for r in sample.groupBy("domain").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "domain").limit(DOMAINS).collect()]
+    sizes = [(r["domain"], r["c"]) for r in sample.groupBy("domain").agg(F.sum("c").alias("c")).collect()]  # one row a domain
     if not sizes:
         return DomainModel(["all"], [0.0])
     sizes.sort()
@@ -124,6 +134,8 @@ def fit_rates(features: DataFrame, targets: list[float], rounds: int = ROUNDS) -
 
 
 def _targets(model: DomainModel, targets: dict[str, float] | None) -> list[float]:
+    if missing := [d for d, t in (targets or {}).items() if t and d not in model.domains]:
+        raise ValueError(f"targets for domains that no labelled document has: {missing}")
     given = {d: float((targets or {}).get(d, 0.0 if targets else 1.0)) for d in model.domains}
     total = sum(given.values()) or 1.0
     return [given[d] / total for d in model.domains]
@@ -145,11 +157,13 @@ def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
 def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = "lang") -> DataFrame:
     """documents with `rate` and `copies`: the rate rounded to a whole number at random by a hash of the id.
 
-    Rows with rate 0 go; all others stay, with their copies (which may be 0) for the reader to repeat.
+    Rows with rate 0 go; all others stay, with their copies (which may be 0) for the reader to repeat.  Columns of
+    these two names are replaced; all others stay, whatever their names.
     """
     model = fit(documents, labels, domain)
-    rows = materialize(model.posteriors(documents.drop("rate", "copies")), "mix")
+    kept = [c for c in documents.columns if c not in ("rate", "copies")]
+    rows = materialize(model.posteriors(documents.select(F.struct(*kept).alias("row"), "text")).drop("text"), "mix")
     steps = fit_rates(rows.select("_n", "_p"), _targets(model, targets))
-    out = rows.withColumn("rate", _rate(steps)).drop("_n", "_p")
+    out = rows.withColumn("rate", _rate(steps)).select("row.*", "rate")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / F.lit(1 << 20)
-    return out.filter("rate > 0").withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    return out.filter(F.col("rate") > 0).withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text
+from .common import discard, free_prefix, materialize, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "ctx")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -137,27 +137,32 @@ def learn_patterns(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         by_pattern = told.groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("noisy_or"))
         seeds = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
         found = seeds.join(by_pattern, "instance", "left")
-        scores = materialize(found.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("noisy_or", F.lit(0.0))).alias("score")), "pii-scores")
-    return materialize(rated.filter(F.col("confidence") >= CONFIDENCE).select("pattern", "confidence"), "pii-patterns")
+        before, scores = scores, materialize(found.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("noisy_or", F.lit(0.0))).alias("score")), "pii-scores")
+    # `rated` of the last round reads the graph and the scores before it
+    out = materialize(rated.filter(F.col("confidence") >= CONFIDENCE).select("pattern", "confidence"), "pii-patterns")
+    discard(edges, scores, before)
+    return out
 
 
-def _with_places(documents: DataFrame, patterns: DataFrame) -> tuple[DataFrame, frozenset[str] | None]:
-    """documents with `_ctx`, and the patterns for spans_of; where they are too many, None, and `_ctx` has the places."""
+def _with_places(documents: DataFrame, patterns: DataFrame, prefix: str) -> tuple[DataFrame, frozenset[str] | None]:
+    """documents with a column prefix + `ctx`, and the patterns for spans_of; where they are too many, None, and the
+    column has the places."""
+    _ctx, _key = prefix + "ctx", prefix + "key"
     if (patterns.agg(F.sum(F.octet_length("pattern")).alias("b")).first()["b"] or 0) <= PATTERN_BYTES:
-        return documents.withColumn("_ctx", F.lit(None).cast("string")), frozenset(r["pattern"] for r in patterns.select("pattern").collect())
+        return documents.withColumn(_ctx, F.lit(None).cast("string")), frozenset(r["pattern"] for r in patterns.select("pattern").collect())
 
     def run(batches):
         for b in batches:
             rows = []
-            for key, text in zip(b["_key"].tolist(), b["text"], strict=True):
+            for key, text in zip(b["key"].tolist(), b["text"], strict=True):
                 if _DIGIT.search(text):
                     rows += [(key, f"{s}:{e}", p) for s, e in _candidates(text, base_spans(text)) for p in _patterns(text, s)]
-            yield pd.DataFrame(rows, columns=["_key", "place", "pattern"])
+            yield pd.DataFrame(rows, columns=["key", "place", "pattern"])
 
-    keyed = documents.withColumn("_key", F.xxhash64(whole_text()))
-    places = keyed.select("_key", whole_text().alias("text")).mapInPandas(run, "_key long, place string, pattern string")
-    found = places.join(patterns.select("pattern"), "pattern", "left_semi").groupBy("_key").agg(F.concat_ws(",", F.collect_set("place")).alias("_ctx"))
-    return keyed.join(found, "_key", "left").drop("_key"), None
+    keyed = documents.withColumn(_key, F.xxhash64(whole_text()))
+    places = keyed.select(F.col(_key).alias("key"), whole_text().alias("text")).mapInPandas(run, "key long, place string, pattern string")
+    found = places.join(patterns.select("pattern"), "pattern", "left_semi").groupBy(F.col("key").alias(_key)).agg(F.concat_ws(",", F.collect_set("place")).alias(_ctx))
+    return keyed.join(found, _key, "left").drop(_key), None
 
 
 def spans_of(text: str, patterns: frozenset[str] | None, places: str | None = None) -> list[tuple[str, int, int]]:
@@ -186,15 +191,16 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def find_spans(documents: DataFrame, patterns: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, kinds array, starts array, ends array) per row, spans in the order of KINDS, then start."""
-    placed, known = _with_places(documents, patterns)
+    prefix = free_prefix(documents.columns)
+    placed, known = _with_places(documents, patterns, prefix)
 
     def run(batches):
         for b in batches:
-            found = [spans_of(t, known, c) for t, c in zip(b["text"], b["_ctx"], strict=True)]
+            found = [spans_of(t, known, c) for t, c in zip(b["text"], b["places"], strict=True)]
             yield pd.DataFrame({key: b[key], "kinds": [[k for k, _, _ in s] for s in found], "starts": [[a for _, a, _ in s] for s in found], "ends": [[e for _, _, e in s] for s in found]})
 
     kind = documents.schema[key].dataType.simpleString()
-    return placed.select(key, whole_text().alias("text"), "_ctx").mapInPandas(run, f"{key} {kind}, kinds array<string>, starts array<long>, ends array<long>")
+    return placed.select(key, whole_text().alias("text"), F.col(prefix + "ctx").alias("places")).mapInPandas(run, f"{key} {kind}, kinds array<string>, starts array<long>, ends array<long>")
 
 
 def redacted(documents: DataFrame) -> DataFrame:
@@ -202,12 +208,13 @@ def redacted(documents: DataFrame) -> DataFrame:
 
     All other columns, null texts and repeated rows stay as they are.
     """
-    placed, known = _with_places(documents, learn_patterns(documents))
+    prefix = free_prefix(documents.columns)
+    placed, known = _with_places(documents, learn_patterns(documents), prefix)
 
     def clean(texts: pd.Series, places: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else redact(t, spans_of(t, known, c)) for t, c in zip(texts, places, strict=True)], dtype=object)
 
-    out = placed.withColumn("text", F.pandas_udf(clean, "string")("text", "_ctx")).select(documents.columns)
+    out = placed.withColumn("text", F.pandas_udf(clean, "string")("text", prefix + "ctx")).select(documents.columns)
     return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out
 
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, fold_of, whole_text
+from .common import bounded_labels, fold_of, free_prefix, whole_text
 
 #: Labelled rows used for fitting, at most.
 FIT_ROWS = 20_000
@@ -24,34 +24,37 @@ STATS = (
 )
 
 
-def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds one struct column `_s` of doubles.  Null text counts as empty; every ratio of an empty text is 0."""
-    t = whole_text(text)
-    out = df.withColumn("_t", t).withColumn("_w", F.filter(F.split("_t", r"[ \t-\r]+"), lambda x: x != ""))
-    out = out.withColumn("_l", F.split("_t", "\n"))
-    n, w = F.greatest(F.length("_t"), F.lit(1)), F.greatest(F.size("_w"), F.lit(1))
-    gone = lambda chars: F.length("_t") - F.length(F.translate("_t", chars, ""))
-    left = lambda pattern: F.length(F.regexp_replace("_t", pattern, ""))
+def with_statistics(df: DataFrame, text: str = "text", prefix: str = "_") -> DataFrame:
+    """Adds one struct column, prefix + `s`, of doubles; no column of df may begin with the prefix.
+
+    Null text counts as empty; every ratio of an empty text is 0.
+    """
+    _t, _w, _l, _s = (prefix + c for c in "twls")
+    out = df.withColumn(_t, whole_text(text)).withColumn(_w, F.filter(F.split(_t, r"[ \t-\r]+"), lambda x: x != ""))
+    out = out.withColumn(_l, F.split(_t, "\n"))
+    n, w = F.greatest(F.length(_t), F.lit(1)), F.greatest(F.size(_w), F.lit(1))
+    gone = lambda chars: F.length(_t) - F.length(F.translate(_t, chars, ""))
+    left = lambda pattern: F.length(F.regexp_replace(_t, pattern, ""))
     letters = left(r"[^\p{L}]+")
     values = [
-        F.least(F.size("_w"), F.lit(200)),
-        (n - F.size("_w")) / w,
+        F.least(F.size(_w), F.lit(200)),
+        (n - F.size(_w)) / w,
         left(r"[^\p{Lu}]+") / n,
         letters / n,
         left(r"[^0-9]+") / n,
         gone(_SYMBOLS) / n,
         gone("|") / w,
         gone("!") / w,
-        F.size(F.array_distinct("_w")) / w,
-        F.size(F.filter("_w", lambda x, i: (i > 0) & (x == F.get("_w", i - 1)))) / w,
-        F.least(w / F.greatest(F.size("_l"), F.lit(1)), F.lit(200)),
-        F.size(F.array_distinct("_l")) / F.greatest(F.size("_l"), F.lit(1)),
+        F.size(F.array_distinct(_w)) / w,
+        F.size(F.filter(_w, lambda x, i: (i > 0) & (x == F.get(_w, i - 1)))) / w,
+        F.least(w / F.greatest(F.size(_l), F.lit(1)), F.lit(200)),
+        F.size(F.array_distinct(_l)) / F.greatest(F.size(_l), F.lit(1)),
         gone(".") / w,
-        F.size(F.filter("_w", lambda x: F.right(x, F.lit(1)).isin(*"!%$&#*|"))) / w,
-        F.size(F.filter("_w", lambda x: F.length(x) > 25)) / w,
+        F.size(F.filter(_w, lambda x: F.right(x, F.lit(1)).isin(*"!%$&#*|"))) / w,
+        F.size(F.filter(_w, lambda x: F.length(x) > 25)) / w,
     ]
     struct = F.struct(*[v.cast("double").alias(k) for k, v in zip(STATS, values, strict=True)])
-    return out.withColumn("_s", struct).drop("_t", "_w", "_l")
+    return out.withColumn(_s, struct).drop(_t, _w, _l)
 
 
 def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], depth: int, path: tuple, out: list) -> np.ndarray:
@@ -162,7 +165,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> RuleEn
 
 def score(documents: DataFrame, model: RuleEnsemble) -> DataFrame:
     """Adds `score` (0 to 1) to every row; other columns stay, an old `score` is replaced."""
-    return with_statistics(documents).withColumn("score", model.column()).drop("_s")
+    prefix = free_prefix(documents.columns)
+    return with_statistics(documents, prefix=prefix).withColumn("score", model.column(prefix + "s")).drop(prefix + "s")
 
 
 def keep_good(documents: DataFrame, model: RuleEnsemble, least: float = 0.5) -> DataFrame:
@@ -171,8 +175,9 @@ def keep_good(documents: DataFrame, model: RuleEnsemble, least: float = 0.5) ->
     A row number in the condition keeps the optimizer from moving it below the statistics, where it would compute
     each of them once per rule.
     """
-    scored = score(documents, model).withColumn("_row", F.monotonically_increasing_id())
-    return scored.filter((F.col("score") >= least) & (F.col("_row") >= 0)).select(*documents.columns)
+    prefix = free_prefix(documents.columns)
+    scored = with_statistics(documents, prefix=prefix).withColumn(prefix + "score", model.column(prefix + "s")).withColumn(prefix + "row", F.monotonically_increasing_id())
+    return scored.filter((F.col(prefix + "score") >= least) & (F.col(prefix + "row") >= 0)).select(*documents.columns)
 
 
 def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:

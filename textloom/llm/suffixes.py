@@ -184,7 +184,7 @@ def _located(parts, lo: np.ndarray):
 def _keyed(documents: DataFrame) -> DataFrame:
     """doc (NO_ID for null), tag (tells rows of one id and different texts apart), text (never null)."""
     text = whole_text()
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.crc32(text.cast("binary")).alias("tag"), text.alias("text"))
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.crc32(text.cast("binary")).alias("tag"), text.alias("text"), F.col("doc_id").isNull().alias("absent"))
 
 
 _L0 = "bucket int, anchors binary, names binary, docs binary, tags binary, starts binary, spans binary"
@@ -337,7 +337,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for doc, text, spans in zip(b["doc"].tolist(), b["text"], b["spans"], strict=True):
+            for doc, text, spans, absent in zip(b["doc"].tolist(), b["text"], b["spans"], b["absent"].tolist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 kept, removed, count, at = hashlib.sha256(), 0, 0, 0
                 if spans is not None:
@@ -352,7 +352,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
                             removed += e - end
                             at = end = e
                 kept.update(data[at:])
-                rows.append((None if doc == NO_ID else doc, len(data), removed, count, kept.hexdigest()))
+                rows.append((None if absent else doc, len(data), removed, count, kept.hexdigest()))
             out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out

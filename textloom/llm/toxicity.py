@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import bounded_labels, fold_of, whole_text
 
-#: Labelled rows used for fitting, at most.
-FIT_ROWS = 12_000
+#: Labelled rows used for fitting, at most; labelled texts of more characters are not used for it (all are scored).
+FIT_ROWS, FIT_CHARS = 12_000, 16_000
 DECAY = 0.5
 #: Offsets of the second and third character, and the weight of the gap.
 SHAPES = [(a, b, DECAY ** (b - 2)) for b in (2, 3, 4) for a in range(1, b)]
 BITS = 18
 SURE = 0.8  # least share of toxic texts, after a margin for chance, on which every such word is an insult
+HARD_AMONG = 300_000  # clean words of the sample among which the hardest are sought in every round
 PURE = 0.9  # from this share of toxic texts on a word is no clean one, though some clean text has it
 COST = 400.0  # of all insults' errors together, and of all clean words', against the margin's width
 BENT = 0.3  # cost of bent spellings of insults, against 1 for the insults
@@ -228,7 +229,8 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4
         return flat
     texts, y = _one_of_copies(texts, y)
     one_of: dict[str, str] = {}  # texts share words: each is held once
-    bags = [{one_of.setdefault(w, w) for w in _plain(t) | {u for s in _END.split(t) if _has_runs(s) for u in units(s)}} for t in texts]
+    # tuples, not sets: a tenth of the memory
+    bags = [tuple(one_of.setdefault(w, w) for w in sorted(_plain(t) | {u for s in _END.split(t) if _has_runs(s) for u in units(s)})) for t in texts]
     clean_words: dict[str, int] = {}
     toxic_words: dict[str, int] = {}
     for b, label in zip(bags, y, strict=True):
@@ -237,11 +239,12 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4
             into[w] = into.get(w, 0) + 1
     # Starting witnesses: words that toxic texts share and clean ones never have, judged by the word itself and by its
     # first four characters.
-    stem_t, stem_c = {}, {}
-    for w, c in toxic_words.items():
-        stem_t[w[:4]] = stem_t.get(w[:4], 0) + c
-    for w, c in clean_words.items():
-        stem_c[w[:4]] = stem_c.get(w[:4], 0) + c
+    stem_t: dict[str, int] = {}
+    stem_c: dict[str, int] = {}
+    for b, label in zip(bags, y, strict=True):  # texts that have a beginning, not words
+        into = stem_t if label else stem_c
+        for stem in {w[:4] for w in b}:
+            into[stem] = into.get(stem, 0) + 1
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
 
     def purity(t: float, c: float) -> float:
@@ -252,7 +255,7 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4
     # labels err: a word, or the words of one beginning, that toxic texts have far more often is no clean word
     for w in [w for w in clean_words if w in toxic_words or w[:4] in stem_t]:
         own = toxic_words.get(w, 0) > 2 and purity(toxic_words[w], clean_words[w]) > PURE
-        if own or stem_t.get(w[:4], 0) > 4 and purity(stem_t[w[:4]], stem_c[w[:4]]) > PURE:
+        if own or stem_t.get(w[:4], 0) > 4 and purity(stem_t[w[:4]], stem_c.get(w[:4], 0)) > PURE:
             del clean_words[w]
 
     def sure(w: str) -> bool:
@@ -271,7 +274,7 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4
     certain = {w for w in toxic_words if sure(w)}
     witnesses: dict[str, int] = {}
     for b in toxic_bags:
-        own = b & certain
+        own = certain.intersection(b)
         if not own:
             w = max(b, key=lambda w: (rating[w], w))
             own = {w} if rating[w] > 1.5 and max(toxic_words[w], stem_t[w[:4]]) > 2 else own
@@ -280,7 +283,7 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4
     rng = np.random.default_rng(11)
     pool = sorted(clean_words, key=lambda w: (-clean_words[w], w))
     negatives = list(dict.fromkeys(pool[:3000] + [pool[i] for i in rng.permutation(len(pool))[:5000].tolist()]))
-    every = pool if len(pool) <= 300_000 else [pool[i] for i in rng.permutation(len(pool))[:300_000].tolist()]
+    every = pool if len(pool) <= HARD_AMONG else [pool[i] for i in rng.permutation(len(pool))[:HARD_AMONG].tolist()]
     machine = flat
     for _ in range(rounds):
         positives = sorted(witnesses, key=lambda w: (-witnesses[w], w))[:4000]
@@ -317,7 +320,7 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4
         for b in toxic_bags:
             new = [w for w in b if w not in cache]
             cache.update(zip(new, machine.margins(new).tolist(), strict=True) if new else ())
-            own = b & certain or {w for w in b if w not in clean_words and cache[w] > 0 and cache[w] == max(map(cache.__getitem__, b))}
+            own = certain.intersection(b) or {w for w in b if w not in clean_words and cache[w] > 0 and cache[w] == max(map(cache.__getitem__, b))}
             for w in own:
                 witnesses[w] = witnesses.get(w, 0) + 1
         wrong = []
@@ -359,7 +362,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Kernel
     toxic = bounded_labels(labels.filter(F.col("toxic") > 0), "toxic", train_fold, rows // 3)
     clean = bounded_labels(labels.filter(F.col("toxic") <= 0), "toxic", train_fold, rows - rows // 3)
     sample = toxic.unionByName(clean).groupBy("doc_id").agg(F.max("y").alias("y"))
-    got = documents.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "y").dropDuplicates().toPandas()
+    got = documents.select("doc_id", whole_text().alias("text")).filter(F.length("text") <= FIT_CHARS).join(F.broadcast(sample), "doc_id").select("text", "y").dropDuplicates().toPandas()
     got = got.sort_values(["text", "y"])
     return train(got["text"].tolist(), got["y"].to_numpy())
 
