@@ -25,8 +25,11 @@ def postings(docs: DataFrame, size: int = 1) -> DataFrame:
 
 
 def with_frequency(links: DataFrame) -> DataFrame:
-    """Adds df, the number of documents of each gram."""
-    return links.join(links.groupBy("gram").agg(F.count("*").alias("df")), "gram")
+    """Adds df, the number of documents of each gram.
+
+    Counting by `cnt` keeps both sides the same up to the join, so that the postings are made and shuffled once.
+    """
+    return links.join(links.groupBy("gram").agg(F.sum(F.when(F.col("cnt") > 0, 1).otherwise(0)).alias("df")), "gram")
 
 
 def top_feature(links: DataFrame) -> DataFrame:
