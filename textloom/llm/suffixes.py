@@ -94,8 +94,8 @@ def stretches(data: bytes, lengths: list[int]):
 class TupleQueue:
     """Priority queue of tuples on disk: sorted runs of whole columns, merged by blocks.
 
-    Columns are equally long arrays; the first is the key.  pop() yields blocks in ascending order of all columns;
-    tuples of equal key are always in one block.
+    Columns are equally long arrays.  pop() yields blocks of about `rows` tuples at most, in ascending order of all
+    columns: tuples that share a prefix may go on in the next block, so that no key is held as a whole.
     """
 
     def __init__(self, rows: int = QUEUE_ROWS):
@@ -133,14 +133,14 @@ class TupleQueue:
                 self._spill()
             runs = [[np.load(p, mmap_mode="r") for p in paths] for paths in self.runs]
             at, block = [0] * len(runs), max(1, self.rows // (2 * len(runs)))
-            last = lambda k: runs[k][0][min(at[k] + block, len(runs[k][0])) - 1]
+            last = lambda k: tuple(c[min(at[k] + block, len(c)) - 1].item() for c in runs[k])
             heap = [(last(k), k) for k in range(len(runs))]
             heapq.heapify(heap)
             while heap:
                 bound = heap[0][0]
                 taken = []
                 for k, run in enumerate(runs):
-                    to = at[k] + int(np.searchsorted(run[0][at[k] :], bound, side="right"))
+                    to = _upto(run, at[k], bound)
                     if to > at[k]:
                         taken.append([np.array(c[at[k] : to]) for c in run])
                         at[k] = to
@@ -152,6 +152,14 @@ class TupleQueue:
                 shutil.rmtree(self.dir, ignore_errors=True)
 
 
+def _upto(run: list[np.ndarray], start: int, bound: tuple) -> int:
+    """Where the rows of a sorted run that are not beyond the bound end."""
+    lo, hi = start, len(run[0])
+    for c, b in zip(run, bound, strict=True):
+        lo, hi = lo + int(np.searchsorted(c[lo:hi], b, side="left")), lo + int(np.searchsorted(c[lo:hi], b, side="right"))
+    return hi
+
+
 def _pieces(docs):
     """Texts in joined pieces of about PIECE bytes: (data, [(id, tag, offset in the text, length in the piece)]).
 
@@ -235,22 +243,28 @@ def _level0(batches):
     for b in batches:
         for a, m, d, t, s, n in zip(b["anchors"], b["names"], b["docs"], b["tags"], b["starts"], b["spans"], strict=True):
             queue.push(np.frombuffer(a, np.uint64), np.frombuffer(m, np.uint64), np.frombuffer(d, np.int64), np.frombuffer(s, np.uint32), np.frombuffer(n, np.uint32), np.frombuffer(t, np.uint32))
+    # in the order of anchor, name, place: a class's first tuple comes first, whatever block the others are in
+    last, kept = None, [np.zeros(0, x) for x in (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, bool)]
     for a, m, d, s, n, t in queue.pop():
-        same = np.append(False, a[1:] == a[:-1])
-        twice = same | np.append(same[1:], False)
-        if not twice.any():
-            continue
-        a, m, d, s, n, t = (c[twice] for c in (a, m, d, s, n, t))
-        group = np.append(True, a[1:] != a[:-1])
-        cls = group | np.append(True, m[1:] != m[:-1])
-        first = np.maximum.accumulate(np.where(cls, np.arange(len(a)), 0))
-        later = (d > d[first]) | (s > s[first])  # of the class's first; rows of equal place repeat none
-        later &= ~cls
+        cls = np.append(last is None or (a[0], m[0]) != last[:2], (a[1:] != a[:-1]) | (m[1:] != m[:-1]))
+        first = np.maximum.accumulate(np.where(cls, np.arange(len(a)), -1))
+        fd, fs = (np.where(first >= 0, c[first], 0 if last is None else f) for c, f in ((d, last and last[2]), (s, last and last[3])))
+        later = ~cls & ((d > fd) | (s > fs))  # than the class's first; rows of equal place repeat none
+        last = a[-1], m[-1], int(fd[-1]), int(fs[-1])
         if later.any():
             yield _found(d[later], t[later], s[later], n[later].astype(np.int64) + WINDOW)
-        number = group.cumsum() - 1
-        mixed = np.bincount(number, cls)[number] > 1
-        ask = mixed & ~later
+        # the others recurse if their anchor has several classes, which the next block may tell of the last anchor
+        kept = [np.concatenate(x) for x in zip(kept, [c[~later] for c in (a, d, s, n, t, cls)], strict=True)]
+        yield from _asking(*(c[kept[0] != a[-1]] for c in kept))
+        kept = [c[kept[0] == a[-1]] for c in kept]
+    yield from _asking(*kept)
+
+
+def _asking(a, d, s, n, t, cls):
+    """Of whole anchors' first tuples, those of anchors with several classes."""
+    if len(a):
+        number = np.append(True, a[1:] != a[:-1]).cumsum() - 1
+        ask = np.bincount(number, cls)[number] > 1
         if ask.any():
             yield _found(d[ask], t[ask], s[ask], n[ask].astype(np.int64) + WINDOW, a[ask])
 
@@ -296,10 +310,13 @@ def _level1(batches):
                 start = at + np.repeat(ends[x:y] - n[x:y] - base, able)
                 name = _mix(h64[start] * np.uint64(3) ^ _mix(h64[start + WINDOW - 64]))
                 queue.push(name, np.repeat(d[x:y], able), np.repeat(s[x:y], able).astype(np.int64) + at, np.repeat(t[x:y], able))
+    last = None
     for name, d, s, t in queue.pop():
-        cls = np.append(True, name[1:] != name[:-1])
-        first = np.maximum.accumulate(np.where(cls, np.arange(len(name)), 0))
-        later = ((d > d[first]) | (s > s[first])) & ~cls
+        cls = np.append(last is None or name[0] != last[0], name[1:] != name[:-1])
+        first = np.maximum.accumulate(np.where(cls, np.arange(len(name)), -1))
+        fd, fs = (np.where(first >= 0, c[first], 0 if last is None else f) for c, f in ((d, last and last[1]), (s, last and last[2])))
+        later = ((d > fd) | (s > fs)) & ~cls
+        last = name[-1], int(fd[-1]), int(fs[-1])
         if not later.any():
             continue
         d, s, t = d[later], s[later], t[later]
