@@ -121,7 +121,7 @@ def test_tuple_queue_spills():
         all_ += list(zip(k.tolist(), v.tolist(), strict=True))
     blocks = [list(zip(a.tolist(), b.tolist(), strict=True)) for a, b in q.pop()]
     assert [x for b in blocks for x in b] == sorted(all_)
-    assert all(b[-1][0] < c[0][0] for b, c in zip(blocks, blocks[1:], strict=False))
+    assert all(b[-1] <= c[0] for b, c in zip(blocks, blocks[1:], strict=False)) and max(map(len, blocks)) <= 1000
 
 
 def test_pii_spans(docs, table):
