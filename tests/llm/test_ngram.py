@@ -1,9 +1,11 @@
 """The language model against exact counts, on both ways of probing the filters."""
 
 import random
+import time
 import zlib
 from collections import Counter
 from math import isclose, log10
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -106,3 +108,27 @@ def test_bloom_counts_round_trip():
     found = bloom.level_of(keys)
     assert (found[:3000] >= level[:3000]).all() and (found[:3000] == level[:3000]).mean() > 0.9
     assert (found[3000:] == 0).mean() > 0.9
+
+
+@pytest.mark.parametrize("near", [1 << 27, 0])
+def test_each_step_leaves_no_shuffle_files_to_the_next(spark, monkeypatch, near):
+    """Else the disk of a run depends on when the driver collects its garbage."""
+    monkeypatch.setattr(ngram, "BROADCAST_TEXT", near)
+    folders = [Path(d.getPath()) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in d.glob("*/shuffle_*.data")}
+    real, left = ngram.materialize, {}
+
+    def watched(df, tag, *more):
+        before, out = files(), real(df, tag, *more)
+        for _ in range(40):  # they are deleted in the background
+            if not (own := files() - before):
+                break
+            time.sleep(0.1)
+        left[tag] = len(own)
+        return out
+
+    monkeypatch.setattr(ngram, "materialize", watched)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    assert ngram.lm_scores(_frame(spark, _docs())).count() == len(_docs())
+    assert left == {"ngram": 0, "ngram-blocks": 0} and spark.conf.get(key) == setting

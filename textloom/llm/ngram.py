@@ -333,12 +333,12 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     total_bytes = text_bytes(docs)
     buckets, near = bucket_count(2.4 * total_bytes, BUCKET_BYTES), total_bytes <= BROADCAST_TEXT
     own = F.when(F.col("bucket") < 0, F.col("block"))  # the lists of documents stay apart
-    parts = materialize(_blocks(docs, buckets).groupBy("bucket", own.alias("own")).applyInPandas(_count(buckets, not near), _PARTS), "ngram")
+    parts = materialize(_blocks(docs, buckets).groupBy("bucket", own.alias("own")).applyInPandas(_count(buckets, not near), _PARTS), "ngram", True)
     total = parts.filter("kind = 'total'").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"] or 0)
     log_z = math.log10(n + 0.5 * (v + 1))
     sent = documents.sparkSession.sparkContext.broadcast([_filters(parts, kind, buckets) for kind in ("words", "pairs")]) if near else None
-    blocks = materialize(parts.filter("block >= 0").groupBy("block").applyInPandas(_assemble(sent), _SCORED), "ngram-blocks")
+    blocks = materialize(parts.filter("block >= 0").groupBy("block").applyInPandas(_assemble(sent), _SCORED), "ngram-blocks", True)
     discard(parts)
     table = documents.sparkSession.sparkContext.broadcast(log_probabilities(level_counts(blocks), log_z))
 
