@@ -123,3 +123,19 @@ def test_components_of_texts(spark, monkeypatch, limits):
     frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect()}
     assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize("limits", [{}, {"ORDER_MOST": 50, "COUNTED": 700}])
+def test_the_order_counts_all_documents(spark, monkeypatch, limits):
+    for name, value in {"HOT": 100, **limits}.items():
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    text = lambda k: " ".join(f"{c}{k}" for c in "abcde")
+    rows = [text(k) for k in range(150) for _ in range(k + 1)]  # an n-gram of 1, one of 2, ..., one of 150 documents
+    rows += [text(k) for k in range(150, 150 + 20_000 - len(rows))]
+    random.Random(3).shuffle(rows)
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], SCHEMA)
+    frequent, rank, huge = jaccard.order_of(frame)
+    grams = [int(s[0]) for s in jaccard.shingles([text(k) for k in range(150)], jaccard.WordHasher())]
+    placed = grams[2:][-limits.get("ORDER_MOST", 150) :]
+    assert dict(zip(frequent.tolist(), rank.tolist(), strict=True)) == {g: place for place, g in enumerate(placed, 1)}
+    assert (frequent[1:] > frequent[:-1]).all() and huge == max(0, len(placed) - 51) + 1  # 51 have 100 documents or more

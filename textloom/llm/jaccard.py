@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a prefix tree over globally ordered n-gram sets.
 
-The global order puts n-grams that are frequent in a sample last, the rest by hash; the order decides cost, never
-results.  Two sets reach the threshold only if their prefixes in this order share an n-gram.
+The global order puts n-grams that many documents have last, counted over all documents, the rest by hash; the order
+decides cost, never results.  Two sets reach the threshold only if their prefixes in this order share an n-gram.
 
 1. Memberships (prefix n-gram, set) are dealt by hash in binary blocks.  The sets of one n-gram are a group; groups of
    the same members are one.  Groups of every size take the same way, those of more than BLOCK sets in parts.
@@ -30,10 +30,10 @@ from .words import WordHasher
 
 WORDS = 5
 NUM, DEN = 3, 4  # the threshold as a fraction: 0.75
-SAMPLE_DOCS = 8_000  # about so many documents give the order of n-grams
-FREQUENT = 3  # occurrences in the sample from which an n-gram counts as frequent
+FREQUENT = 3  # documents from which an n-gram counts as frequent
 ORDER_MOST = 200_000  # n-grams with an own place in the order, at most (3 MB)
-HOT = 8_192  # n-grams of probably more sets are dealt by set, not by n-gram
+COUNTED = 2_000_000  # n-grams that are counted at once before they are dealt
+HOT = 8_192  # n-grams of so many documents are dealt by set, not by n-gram
 BLOCK = 2_048  # sets of a group that meet in one task; larger groups are cut into parts
 PIVOTS = 16  # one in so many sets of a part meets all other parts
 LOCAL = 4_096  # sets of a component in one tree; larger components are cut into stars
@@ -125,26 +125,50 @@ def document_sets(documents: DataFrame) -> DataFrame:
 
 
 def order_of(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Frequent n-grams of a bounded sample, sorted by hash, and their places (from 1, more frequent ones later).
+    """Frequent n-grams, sorted by hash, and their places (from 1, those of more documents later).
 
-    From the third value on, places are of n-grams that probably more than HOT sets have.
+    All documents are counted: sorted n-grams with their counts are dealt by hash ranges in binary blocks.  From the
+    third value on, places are of n-grams that HOT documents or more have.
     """
-    step = max(1, documents.count() // SAMPLE_DOCS)
-    sample = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+    buckets = bucket_count(1.4 * text_bytes(documents), BUCKET_BYTES)  # 8 bytes a word
+    cuts = np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1))
+
+    def block(sets: list[np.ndarray]) -> pd.DataFrame:
+        u, c = np.unique(np.concatenate(sets), return_counts=True)
+        at = np.searchsorted(u, cuts).tolist()
+        rows = [(k, u[x:y].tobytes(), c[x:y].astype(np.int32).tobytes()) for k, (x, y) in enumerate(zip([0, *at], [*at, len(u)], strict=True)) if x < y]
+        return pd.DataFrame(rows, columns=["bucket", "grams", "counts"])
 
     def run(batches):
-        hasher = WordHasher()
+        hasher, held, size = WordHasher(), [], 0
         for b in batches:
-            sets = list(shingles(b["text"], hasher))
-            u, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            yield pd.DataFrame({"gram": u.view(np.int64), "c": c})
-
-    counted = sample.select(whole_text().alias("text")).mapInPandas(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-    top = counted.filter(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "gram").limit(ORDER_MOST).toPandas()
+            for s in shingles(b["text"], hasher):
+                held.append(s)
+                size += len(s)
+                if size >= COUNTED:
+                    yield block(held)
+                    held, size = [], 0
+        if size:
+            yield block(held)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, index = np.unique(np.frombuffer(b"".join(pdf["grams"]), np.uint64), return_inverse=True)
+        c = np.bincount(index, np.frombuffer(b"".join(pdf["counts"]), np.int32), len(u)).astype(np.int64)
+        keep = c >= FREQUENT
+        return pd.DataFrame({"gram": u[keep].view(np.int64), "c": c[keep]})
+
+    blocks = documents.select(whole_text().alias("text")).mapInPandas(run, "bucket int, grams binary, counts binary")
+    counted = materialize(blocks.groupBy("bucket").applyInPandas(count, "gram long, c long"), "jaccard-order", True)
+    # only counts that reach the most frequent ORDER_MOST are sorted
+    by_count = counted.groupBy("c").agg(F.count("*").alias("n")).toPandas().sort_values("c", ascending=False)
+    reach = by_count["c"][by_count["n"].cumsum() >= ORDER_MOST]
+    least = int(reach.iloc[0]) if len(reach) else FREQUENT
+    top = counted.filter(F.col("c") >= least).orderBy(F.desc("c"), "gram").limit(ORDER_MOST).toPandas()
+    discard(counted)
     grams = top["gram"].to_numpy(np.int64).view(np.uint64)
     rank = np.arange(len(top), 0, -1)
     order = np.argsort(grams)
-    huge = int((top["c"] * step < HOT).sum()) + 1
+    huge = int((top["c"] < HOT).sum()) + 1
     return grams[order], rank[order], huge
 
 
