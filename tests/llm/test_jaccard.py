@@ -139,3 +139,38 @@ def test_the_order_counts_all_documents(spark, monkeypatch, limits):
     placed = grams[2:][-limits.get("ORDER_MOST", 150) :]
     assert dict(zip(frequent.tolist(), rank.tolist(), strict=True)) == {g: place for place, g in enumerate(placed, 1)}
     assert (frequent[1:] > frequent[:-1]).all() and huge == max(0, len(placed) - 51) + 1  # 51 have 100 documents or more
+
+
+@pytest.mark.parametrize("hot", [8_192, 12])
+def test_groups_become_memberships_once(spark, monkeypatch, hot):
+    """Equal groups of many buckets are one before their members are told apart: more buckets make no more memberships."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    real, met, got = jaccard.materialize, [], []
+
+    def watched(df, tag, *more):
+        out = real(df, tag, *more)
+        if tag == "jaccard-met":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    words = [f"w{k}" for k in range(400)]
+    rows = [" ".join([*words, f"end{k}"]) for k in range(20)] + [" ".join([f"own{k}", *words[:100]]) for k in range(10)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], SCHEMA)
+    grams = {g: [] for s in jaccard.shingles(rows, jaccard.WordHasher()) for g in s.tolist()}
+    prefixes, order = 0, jaccard.order_of(frame)
+    for s in jaccard.shingles(rows, jaccard.WordHasher()):
+        p, prefixes = jaccard.prefix_length(len(s)), prefixes + jaccard.prefix_length(len(s))
+        for g in jaccard.in_order(s, *order[:2])[0][:p].tolist():
+            grams[g].append(jaccard.set_id(s))
+    want = {tuple(sorted(x)) for x in grams.values() if len(x) > 1}
+    for buckets in (1, 64):
+        monkeypatch.setattr(jaccard, "bucket_count", lambda *_, n=buckets: n)
+        found = {}
+        for r in jaccard._groups(frame, *order).collect():
+            found.setdefault((r["group"], r["size"]), []).append(r["set"])
+        assert all(len(x) == size for (_, size), x in found.items())
+        got.append(sorted(tuple(sorted(x)) for x in found.values()))
+    assert got[0] == got[1] == sorted(want)
+    if hot == 8_192:
+        assert met[0] == len(want) and met[1] <= sum(len(x) > 1 for x in grams.values()) < sum(map(len, grams.values())) / 4

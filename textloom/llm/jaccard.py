@@ -203,10 +203,14 @@ def _prefix_blocks(documents: DataFrame, frequent: np.ndarray, rank: np.ndarray,
     return documents.select(whole_text().alias("text")).mapInPandas(run, "bucket int, grams binary, sets binary")
 
 
+_MET = "group long, members array<long>, size long"
+
+
 def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Memberships (group, set, size) of a bucket's groups of two sets or more, equal groups once.
+    """(group, members, size): a bucket's groups of two sets or more, one row each, equal groups once.
 
-    Of a bucket below 0, the memberships (n-gram, set) as they are, once each, with size 0.
+    Equal groups come from many buckets, the more the more buckets there are, so members are told apart into rows only
+    after groups of all buckets are one.  Of a bucket below 0: (n-gram, its sets in this bucket, 0).
     """
     g = np.frombuffer(b"".join(pdf["grams"]), np.uint64)
     i = np.frombuffer(b"".join(pdf["sets"]), np.int64)
@@ -214,19 +218,17 @@ def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
     g, i = g[order], i[order]
     keep = np.append(True, (g[1:] != g[:-1]) | (i[1:] != i[:-1])) if len(g) else np.zeros(0, bool)
     g, i = g[keep], i[keep]
-    if len(pdf) and pdf["bucket"].iloc[0] < 0:
-        return pd.DataFrame({"group": g.view(np.int64), "set": i, "size": 0})
     cut = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, int)
     size = np.diff(np.append(cut, len(g)))
+    if len(pdf) and pdf["bucket"].iloc[0] < 0:
+        return pd.DataFrame({"group": g[cut].view(np.int64), "members": pd.Series(np.split(i, cut[1:]) if len(cut) else [], dtype=object), "size": 0})
     groups = {}
     for x, k in zip(cut[size > 1].tolist(), size[size > 1].tolist(), strict=True):
         members = i[x : x + k]
         groups.setdefault(xxhash.xxh3_64_intdigest(members.tobytes()), members)
-    if not groups:
-        return pd.DataFrame({"group": [], "set": [], "size": []}, dtype="int64")
-    sizes = np.array([len(m) for m in groups.values()])
     names = np.array(list(groups), np.uint64).view(np.int64)
-    return pd.DataFrame({"group": np.repeat(names, sizes), "set": np.concatenate(list(groups.values())), "size": np.repeat(sizes, sizes)})
+    sizes = np.array([len(m) for m in groups.values()], np.int64)
+    return pd.DataFrame({"group": names, "members": pd.Series(list(groups.values()), dtype=object), "size": sizes})
 
 
 class Bound:
@@ -524,10 +526,11 @@ def _groups(documents: DataFrame, frequent: np.ndarray, rank: np.ndarray, huge:
     """(group, set, size): the groups of sets that share a prefix n-gram, each once."""
     buckets = bucket_count(0.6 * text_bytes(documents), BUCKET_BYTES)
     blocks = _prefix_blocks(documents, frequent, rank, huge, buckets)
-    met = materialize(blocks.groupBy("bucket").applyInPandas(_gather, "group long, set long, size long"), "jaccard-met")
-    dealt = met.filter("size > 0").dropDuplicates(["group", "set"])
+    met = materialize(blocks.groupBy("bucket").applyInPandas(_gather, _MET), "jaccard-met")
+    each = F.explode("members").alias("set")
+    dealt = met.filter("size > 0").distinct().select("group", each, "size")
     # hot n-grams (at most ORDER_MOST of them): one of those with the same sets stands for all
-    hot, mark = met.filter("size = 0"), F.xxhash64("set")
+    hot, mark = met.filter("size = 0").select("group", each, "size"), F.xxhash64("set")
     named = hot.groupBy("group").agg(F.count("*").alias("size"), F.sum(mark.cast("decimal(38,0)")).alias("s"), F.bit_xor(mark).alias("x"))
     named = named.filter("size > 1").groupBy("size", "s", "x").agg(F.min("group").alias("group")).select("group", "size")
     hot = hot.drop("size").join(F.broadcast(named), "group")
