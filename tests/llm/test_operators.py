@@ -95,6 +95,26 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(21)} | {50: 50, 51: 50}
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 7])
+def test_components_cost_few_steps(spark, monkeypatch, chunk):
+    """Edges that fit in a chunk are written twice, however long their chains are; more chunks give the same."""
+    monkeypatch.setattr(components, "CHUNK", chunk, raising=False)
+    real, written = components.materialize, []
+    monkeypatch.setattr(components, "materialize", lambda df, tag, *more: written.append(tag) or real(df, tag, *more))
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(200) if i % 40] + [(rng.randint(300, 360), rng.randint(300, 360)) for _ in range(40)]
+    edges += [(b, a) for a, b in edges[::3]] + edges[::5] + [(-(1 << 62), 1 << 62), (999, 999)]
+    least = {x: x for a, b in edges if a != b for x in (a, b)}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted(least.items())
+    assert chunk == 7 or len(written) == 2
+    assert not components.components(spark.createDataFrame([], "a long, b long")).collect()
+
+
 def test_suffix_repeats(docs, table):
     seen, want = set(), {}
     for i, t in sorted(docs, key=lambda x: x[0]):
