@@ -387,7 +387,7 @@ def keyboard_layout(spark, d):
 @query(r"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+|[0-9]+') AS t FROM documents) SELECT doc_id, list_aggregate(t[1:20], 'string_agg', ' ') AS head, len(t) > 20 AS cut FROM t")
 def truncated_tokens(spark, d):
     head, cut = X.truncated(F.col("text"), 20)
-    return _t(spark, d, "documents").select("doc_id", F.array_join(head, " ").alias("head"), cut.alias("cut"))
+    return _t(spark, d, "documents").select("doc_id", F.when(F.size(head) > 0, F.array_join(head, " ")).alias("head"), cut.alias("cut"))  # as in SQL, no tokens join to null
 
 
 @query(f"WITH {_VOC} SELECT tok.doc_id, count(v.tok)::BIGINT AS known, count(*) - count(v.tok) AS unknown FROM tok LEFT JOIN v USING (tok) GROUP BY tok.doc_id")
