@@ -21,9 +21,19 @@ def normalised(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.concat(F.lit(" "), x, F.lit(" ")), " and ", " "))
 
 
+def one_each(rows: DataFrame) -> DataFrame:
+    """Distinct rows, before anything is made of them.
+
+    Not distinct(): the optimizer drops one that another distinct follows, and tests for null of what is made of the
+    rows go below it; then what is costly to make is made for every row.  Values that need a count stay above it.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    return counted.select(*[F.when(F.col("_n") > 0, F.col(c)).alias(c) for c in rows.columns])
+
+
 def name_grams(names: DataFrame) -> DataFrame:
     """(name, gram) of distinct normalised names."""
-    return names.select(normalised(F.col("name")).alias("name")).distinct().select("name", F.explode(trigrams(F.col("name"))).alias("gram"))
+    return one_each(names.select("name")).select(normalised(F.col("name")).alias("name")).distinct().select("name", F.explode(trigrams(F.col("name"))).alias("gram"))
 
 
 def match_names(names: DataFrame, queries: DataFrame) -> DataFrame:
@@ -33,7 +43,7 @@ def match_names(names: DataFrame, queries: DataFrame) -> DataFrame:
     are joined, so a gram that most names have meets only queries that have nothing rarer.  Relevance is the sum of
     1/df^2 over the shared grams.
     """
-    held = names.select(normalised(F.col("name")).alias("name")).distinct().withColumn("gs", trigrams(F.col("name")))
+    held = one_each(one_each(names.select("name")).select(normalised(F.col("name")).alias("name"))).withColumn("gs", trigrams(F.col("name")))
     df = held.select(F.explode("gs").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     asked = queries.select("qid", trigrams(normalised(F.col("q"))).alias("gs")).select("qid", F.size("gs").alias("nq"), F.explode("gs").alias("gram"))
     asked = asked.join(df, "gram", "left").groupBy("qid", "nq").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("qs"))
@@ -61,7 +71,7 @@ def match_sounds(names: DataFrame, queries: DataFrame) -> DataFrame:
     sounds = lambda c: F.array_join(F.transform(F.split(normalised(to_latin(c)), " "), lambda w: sound(w, 4)), " ")
     poor = straight.groupBy("qid").agg(F.max("coverage").alias("best")).filter(F.col("best") >= SOUND_BELOW)
     asked = queries.join(poor, "qid", "left_anti").select("qid", sounds(F.col("q")).alias("q"))
-    own = names.select(normalised(F.col("name")).alias("name")).distinct()
+    own = one_each(one_each(names.select("name")).select(normalised(F.col("name")).alias("name")))
     heard = match_names(own.select(sounds(F.col("name")).alias("name")), asked).withColumnRenamed("name", "s")
     back = heard.join(own.withColumn("s", normalised(sounds(F.col("name")))), "s").withColumn("coverage", F.round(F.col("coverage") * SOUND_SHARE, 6))
     both = straight.unionByName(back.select(*straight.columns))
