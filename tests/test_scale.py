@@ -1,9 +1,16 @@
 """What makes queries fail on large tables, seen on small ones."""
 
+import random
+from types import SimpleNamespace
+
+import duckdb
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from textloom import queries as engine
 from textloom.functions import words as W
+from textloom.operators import documents as D
 from textloom.operators import names as N
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +50,68 @@ def test_equal_texts_are_rewritten_once(spark):
     at = next(k for k, line in enumerate(lines) if "MapInPandas" in line)
     assert any("Aggregate [text" in line for line in lines[at:])
     assert engine.QUERIES["rule_functions"](spark, SF).count() == 16 * spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+IN_ROWS = ("postings", "postings_bigrams", "postings_trigrams", "top_feature", "feature_positions", "term_shares", "weighted_postings", "bead_features", "best_chunk", "chunk_ranks", "language_guess")
+
+
+@pytest.mark.parametrize("name", IN_ROWS)
+def test_documents_are_not_shuffled(spark, name):
+    plan = engine.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("name", ("search_default", "search_smart", "json_answers"))
+def test_search_passes_on_the_best_only(spark, name):
+    lines = _plan(engine.QUERIES[name](spark, SF))
+    assert any("MapInArrow" in x for x in lines) and not any("Generate" in x or "Join" in x for x in lines)
+
+
+def test_rare_features_shuffle_counts_only(spark):
+    assert not any("Join" in x for x in _plan(engine.QUERIES["rare_features"](spark, SF)))
+
+
+REPEATED = ("postings", "document_frequency", "rare_features", "top_feature", "feature_positions", "term_shares", "search_default", "search_smart", "best_chunk", "tag_centroids")
+
+
+@pytest.mark.parametrize(("name", "again"), [(n, True) for n in REPEATED] + [(n, False) for n in (*REPEATED, *IN_ROWS, "language_guess", "truncated_tokens") if n != "chunk_ranks"])
+def test_odd_documents_equal_sql(spark, tmp_path, name, again):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["the", "The", "of", "éa", "a", "12", "0012", "1234567890123", "x1y", "zz", f"w{rng.randrange(9)}", rng.choice("bcdfghjk") + rng.choice("lmnpqrst") * 2]) for _ in range(n))
+    rows = [(k, text(rng.randrange(90)), rng.choice(["en", "de", "fr"]), "s") for k in range(40)] + [(90, "", "en", "s"), (91, None, "de", "s"), (92, "?!", "de", "s"), (93, "a", "fr", "s")]
+    rows += [(k, text(30), "en", "s") for k in (3, 3, 7, 90)] if again else []
+    tables = {
+        "documents": (rows, "doc_id long, text string, lang string, source string"), "labels": ([(k, k % 2, 0) for k in range(0, 40, 3)], "doc_id long, quality int, toxic int"),
+        "benchmark": ([(5, "the zz of"), (1, "A éa 12 w1 w2"), (2, "?"), (8, "nothing here w3")], "item_id long, text string"), "part": ([("The", "m1"), ("zz", "m2"), ("zz", "m3"), ("12", "m4")], "p_brand string, p_type string"),
+    }
+    con = duckdb.connect()
+    for t, (held, schema) in tables.items():
+        spark.createDataFrame(held, schema).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    df = engine.QUERIES[name](spark, str(tmp_path))
+    norm = lambda v: round(v, 5) if isinstance(v, float) else v
+    got = sorted((tuple(norm(r[c]) for c in sorted(df.columns)) for r in df.collect()), key=str)
+    cur = con.execute(engine.ORACLES[name])
+    names = [x[0] for x in cur.description]
+    assert got == sorted((tuple(norm(dict(zip(names, r, strict=True))[c]) for c in sorted(names)) for r in cur.fetchall()), key=str) and got
+
+
+def test_slices_give_the_same(monkeypatch):
+    rng = random.Random(2)
+    texts = [[rng.choice("abcdefgh") for _ in range(n)] for n in (40, 0, 3, 300, 7, 90)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.list_(pa.string()))], ["doc_id", "t"])
+    asked = D.Asked(pa.table({"item_id": [i for i in range(9) for _ in range(3)], "gram": [g for i in range(9) for g in rng.sample("abcdexyz", 3)]}))
+
+    class Rows:
+        schema = {"doc_id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))}
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: sorted(tuple(r.values()) for b in run([batch, batch]) for r in b.to_pylist())
+
+    held = SimpleNamespace(value=asked)
+    made = lambda: [D.chunks(Rows(), held, 20, "bigint", first) for first in (True, False)] + [D.best_documents(Rows(), held, lambda code, n: 0.1 * (code + n), 2, "bigint")]
+    want = made()
+    for slice_, cells in ((20, 9), (1, 1), (500, 18)):
+        monkeypatch.setattr(D, "SLICE", slice_)
+        monkeypatch.setattr(D, "CELLS", cells)
+        assert made() == want
+    assert len(want[0]) > 40 and len(want[1]) > 100 and len(want[2]) == 18

@@ -186,7 +186,7 @@ def searched(docs: DataFrame, request: Request, tags: DataFrame | None = None) -
     spark = docs.sparkSession
     grams = index.query_grams(spark.createDataFrame([(request.qid or "0", request.text)], "item_id string, text string"))
     smart = requests.flags_of(request.flags, requests.SEARCH_FLAGS).get("smart", False)
-    return index.search(held, grams, smart, request.most or index.MAX_BACK)
+    return index.best_search(held, grams, smart, request.most or index.MAX_BACK)
 
 
 __all__ = ["Engine", "answers", "completion_json", "found_entities", "guess_language", "normalised", "route", "searched", "spelled"]

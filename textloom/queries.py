@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import values as V
+from .operators import documents as D
 from .operators import index as I
 from .operators import names as N
 from .plans.rewriter import rewritten
@@ -40,12 +41,12 @@ _RANK = "SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (
 
 @query(f"WITH {_DF}, {_Q}, hits AS (SELECT item_id, doc_id, round(sum({_NUM} / ln(1 + (1.0 + df))), 6) AS score FROM post JOIN dfs USING (gram) JOIN q USING (gram) GROUP BY ALL) {_RANK}")
 def search_default(spark, d):
-    return I.search(_t(spark, d, "documents"), I.query_grams(_t(spark, d, "benchmark")))
+    return I.best_search(_t(spark, d, "documents"), I.query_grams(_t(spark, d, "benchmark")))
 
 
 @query(f"WITH {_DF}, {_Q}, hits AS (SELECT item_id, doc_id, round(sum((CASE WHEN length(gram) = 1 THEN 0.125 ELSE 1.0 END) * 2.0 * ln(128.0 + cnt) / ln(1 + (1.0 + df)) * {_NUM}), 6) AS score FROM post JOIN dfs USING (gram) JOIN q USING (gram) GROUP BY ALL) {_RANK}")
 def search_smart(spark, d):
-    return I.search(_t(spark, d, "documents"), I.query_grams(_t(spark, d, "benchmark")), smart=True)
+    return I.best_search(_t(spark, d, "documents"), I.query_grams(_t(spark, d, "benchmark")), smart=True)
 
 
 @query(f"WITH {_POST} SELECT * FROM post")
@@ -135,7 +136,7 @@ def list_documents(spark, d):
 @query(f"WITH {_DF}, {_Q}, hits AS (SELECT item_id, doc_id, round(sum({_NUM} / ln(1 + (1.0 + df))), 6) AS score FROM post JOIN dfs USING (gram) JOIN q USING (gram) GROUP BY ALL), best AS ({_RANK}), s AS (SELECT source AS entity, sum(score) AS s FROM best JOIN documents USING (doc_id) GROUP BY source), e AS (SELECT min(s) AS lo, max(s) AS hi FROM s) SELECT entity, round(CASE WHEN hi - lo > 1e-8 THEN (s - lo) / (hi - lo) ELSE s END, 6) AS score FROM s, e")
 def document_entities(spark, d):
     docs = _t(spark, d, "documents")
-    hits = I.search(docs, I.query_grams(_t(spark, d, "benchmark")))
+    hits = I.best_search(docs, I.query_grams(_t(spark, d, "benchmark")))
     return I.entity_scores(hits, docs.select("doc_id", F.col("source").alias("entity")))
 
 
@@ -360,7 +361,7 @@ def rule_rewriting(spark, d):
 
 @query()
 def json_answers(spark, d):
-    hits = I.search(_t(spark, d, "documents"), I.query_grams(_t(spark, d, "benchmark")))
+    hits = I.best_search(_t(spark, d, "documents"), I.query_grams(_t(spark, d, "benchmark")))
     return hits.groupBy("item_id").agg(F.to_json(F.struct(F.col("item_id").alias("qid"), F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("docs"))).alias("answer"))
 
 
