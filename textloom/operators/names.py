@@ -6,11 +6,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trigrams
+from ..functions.text import tokens, trigrams
 from ..functions.words import sound, to_latin
+from . import documents as D
 
 COVERAGE_LEAST, COVERAGE_DROP, RANK_DROP, NAMES_MOST = 0.3, 0.1, 0.15, 64
 CIRCUMFERENCE_KM = 40000.0
+QUERY_GRAMS_MOST = 1_000_000  # grams of all queries that go to every task; more are joined
 
 
 def normalised(name: Column) -> Column:
@@ -294,21 +296,37 @@ def centroids(shares: DataFrame, tags: DataFrame) -> DataFrame:
     return stats
 
 
+def tagged_centroids(docs: DataFrame, tags: DataFrame) -> DataFrame:
+    """As centroids of the shares of documents (doc_id, text).  A document takes its tags (doc_id, has) along, so that
+    its words are counted by tag where they are made."""
+    held = tags.groupBy("doc_id").agg(F.collect_list(F.struct("has")).alias("tags"))
+    shares = D.term_shares(docs.select("doc_id", "text").join(held, "doc_id"), "tags")
+    each = shares.select("tok", "tf", F.explode("tags").alias("t")).select(F.col("t.has").alias("has"), "tok", "tf")
+    return each.groupBy("has", "tok").agg(F.avg("tf").alias("mean"), F.stddev_pop("tf").alias("sd"), F.count("*").alias("docs"))
+
+
+FREQUENT_MOST = 100_000  # words of both sides, those of most documents, that are broadcast; the others are joined
+
+
 def tag_probability(shares: DataFrame, centers: DataFrame) -> DataFrame:
     """(doc_id, p): distance to `no` over the sum of both distances, on words that both sides have.
 
     A word that the document lacks adds its mean squared to both distances: that part is one sum per side, so only
     the document's own words are joined.
     """
-    yes = centers.filter("has = 1").select("tok", F.col("mean").alias("m1"), F.col("sd").alias("s1"))
-    no = centers.filter("has = 0").select("tok", F.col("mean").alias("m0"), F.col("sd").alias("s0"))
-    both = yes.join(no, "tok").select("*", F.abs(F.col("m1") - F.col("m0")).alias("gap")).filter(F.col("gap") > 1e-4)
+    side = lambda has, c, name: F.max(F.when(F.col("has") == has, F.col(c))).alias(name)
+    sides = centers.filter("has IN (0, 1)").groupBy("tok").agg(side(1, "mean", "m1"), side(1, "sd", "s1"), side(1, "docs", "n"), side(0, "mean", "m0"), side(0, "sd", "s0"))
+    both = sides.select("*", F.abs(F.col("m1") - F.col("m0")).alias("gap")).filter(F.col("gap") > 1e-4).localCheckpoint()  # read five times
+    often = F.broadcast(both.orderBy(F.desc("n"), "tok").limit(FREQUENT_MOST).select("tok"))
     size = both.agg(F.count("*").alias("k"))
     both = both.crossJoin(F.broadcast(size))  # one row
     term = lambda x, m, s: (x - F.col(m)) * (x - F.col(m)) / (1 / F.col("k") + F.col(s))
     zero = F.lit(0.0)
     base = both.agg(F.sum(term(zero, "m1", "s1")).alias("b1"), F.sum(term(zero, "m0", "s0")).alias("b0"))
-    own = shares.join(both, "tok").groupBy("doc_id").agg(
+    # frequent words meet their documents where these are read; only the others are shuffled
+    frequent = shares.join(F.broadcast(both.join(often, "tok", "left_semi")), "tok")
+    others = shares.join(often, "tok", "left_anti").join(both.join(often, "tok", "left_anti"), "tok")
+    own = frequent.unionByName(others).groupBy("doc_id").agg(
         F.sum(term(F.col("tf"), "m1", "s1") - term(zero, "m1", "s1")).alias("d1"), F.sum(term(F.col("tf"), "m0", "s0") - term(zero, "m0", "s0")).alias("d0")
     )
     d1, d0 = (F.sqrt(F.greatest(F.col(f"b{i}") + F.col(f"d{i}"), zero)) for i in (1, 0))
@@ -329,6 +347,26 @@ def topic_filter(hits: DataFrame, links: DataFrame, wanted: DataFrame) -> DataFr
     return hits.join(good, "id", "left").withColumn("any", F.max("good").over(w)).filter("good OR any IS NULL").drop("good", "any")
 
 
+def query_chunks(docs: DataFrame, queries: DataFrame, width: int, first_only: bool = False) -> DataFrame:
+    """As chunks, of the places in documents (doc_id, text) that have a word of queries (item_id, gram, distinct).
+
+    Places are made and chosen inside a document's row: one for each item, document and word does not go through a
+    shuffle.  first_only: the densest place only.
+    """
+    few = queries.select("item_id", "gram").distinct().limit(QUERY_GRAMS_MOST + 1).toArrow()
+
+    def grouped(d: DataFrame) -> DataFrame:
+        spots = queries.withColumnRenamed("gram", "tok").join(tokens(d), "tok").select("item_id", "doc_id", "pos").distinct()
+        made = chunks(spots, width)
+        return made.filter("rank = 1") if first_only else made
+
+    if few.num_rows > QUERY_GRAMS_MOST:
+        return grouped(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(D.Asked(few.filter(few.column("gram").is_valid())))
+    kind = queries.schema["item_id"].dataType.simpleString()
+    return D.by_document(docs, lambda d: D.chunks(D.listed(d), sent, width, kind, first_only), grouped)
+
+
 def chunks(positions: DataFrame, width: int) -> DataFrame:
     """(item_id, doc_id, rank, pos, weight): places to show, densest first, none closer than `width` to a better one.
 

@@ -433,14 +433,13 @@ def has_topics(spark, d):
 _SPOTS = _TOK + r", q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+|[0-9]+')) AS tok FROM benchmark), s AS (SELECT DISTINCT item_id, doc_id, pos FROM tok JOIN q USING (tok)), r AS (SELECT *, count(*) OVER (PARTITION BY item_id, doc_id ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS weight FROM s)"
 
 
-def _chunks(spark, d):
-    t = X.tokens(_t(spark, d, "documents"))
-    return N.chunks(I.query_grams(_t(spark, d, "benchmark")).withColumnRenamed("gram", "tok").join(t, "tok").select("item_id", "doc_id", "pos"), 20)
+def _chunks(spark, d, first_only=False):
+    return N.query_chunks(_t(spark, d, "documents"), I.query_grams(_t(spark, d, "benchmark")), 20, first_only)
 
 
 @query(f"WITH {_SPOTS} SELECT item_id, doc_id, pos::BIGINT AS pos, weight::BIGINT AS weight FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY weight DESC, pos) AS k FROM r) WHERE k = 1")
 def best_chunk(spark, d):
-    return _chunks(spark, d).filter("rank = 1").drop("rank")
+    return _chunks(spark, d, first_only=True).drop("rank")
 
 
 @query()
