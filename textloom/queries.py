@@ -291,8 +291,8 @@ _CEN = _TF + ", cen AS (SELECT quality AS has, tok, avg(tf) AS mean, stddev_pop(
 
 
 def _classifier(spark, d):
-    shares = N.term_shares(X.tokens(_t(spark, d, "documents")))
-    return shares, N.centroids(shares, _t(spark, d, "labels").select("doc_id", F.col("quality").alias("has")))
+    docs = _t(spark, d, "documents")
+    return D.term_shares(docs), N.tagged_centroids(docs, _t(spark, d, "labels").select("doc_id", F.col("quality").alias("has")))
 
 
 @query(f"WITH {_CEN} SELECT has, tok, round(mean, 6) AS mean, round(sd, 6) AS sd, docs FROM cen")
