@@ -71,7 +71,7 @@ def document_frequency(spark, d):
 
 @query(f"WITH {_POST} SELECT doc_id, gram, cnt AS topcnt FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, gram) AS r FROM post) WHERE r = 1")
 def top_feature(spark, d):
-    return I.top_feature(I.postings(_t(spark, d, "documents")))
+    return D.top_feature(_t(spark, d, "documents"))
 
 
 @query(f"WITH {_DF} SELECT doc_id, gram, df FROM post JOIN dfs USING (gram) WHERE df <= 2")
@@ -91,8 +91,8 @@ def documents_of_feature(spark, d):
 
 @query(f"WITH {_TOK} SELECT tok AS gram, doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS places FROM tok GROUP BY ALL")
 def feature_positions(spark, d):
-    t = X.tokens(_t(spark, d, "documents"))
-    return t.groupBy(F.col("tok").alias("gram"), "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda p: p.cast("string")), ",").alias("places"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda p: p.cast("string")), ",")
+    return D.by_document(_t(spark, d, "documents"), D.places, lambda x: X.tokens(x).groupBy(F.col("tok").alias("gram"), "doc_id").agg(listed.alias("places")))
 
 
 def _tags(spark, d):
@@ -372,7 +372,7 @@ def phrase_breaks(spark, d):
 
 @query(f"WITH {_TF} SELECT doc_id, tok, round(tf, 9) AS tf FROM tf")
 def term_shares(spark, d):
-    return N.term_shares(X.tokens(_t(spark, d, "documents"))).withColumn("tf", F.round("tf", 9))
+    return D.term_shares(_t(spark, d, "documents")).withColumn("tf", F.round("tf", 9))
 
 
 @query(f"SELECT doc_id, translate(lower(text), '{X.MARKED}', '{X.UNMARKED}') AS plain FROM documents")
