@@ -115,7 +115,7 @@ def splits(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
     return both.groupBy("word").agg(F.min(F.struct("i", "left_part", "right_part")).alias("b")).select("word", "b.left_part", "b.right_part")
 
 
-MODEL_MOST = 200_000  # trigrams of a language model that are broadcast; a larger model is joined
+MODEL_MOST = 200_000  # trigrams of a language model that go to every task; a larger model is joined
 
 
 def language_model(docs: DataFrame) -> DataFrame:
@@ -133,7 +133,11 @@ def language_guess(docs: DataFrame, model: DataFrame | None = None) -> DataFrame
     model: as of language_model; by default that of the documents themselves.
     """
     model = language_model(docs) if model is None else model
-    model = F.broadcast(model) if model.limit(MODEL_MOST + 1).count() <= MODEL_MOST else model
+    few = model.limit(MODEL_MOST + 1).toArrow()
+    if few.num_rows <= MODEL_MOST:
+        from ..operators.documents import language_scores
+
+        return language_scores(docs, few)
     words = tokens(docs).groupBy("doc_id", "tok").agg(F.count("*").alias("c"))
     grams = words.select("doc_id", "c", F.explode(trigrams(F.col("tok"))).alias("g")).join(model, "g")
     each = grams.select("doc_id", "c", F.explode("shares").alias("s"))
