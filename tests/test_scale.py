@@ -4,6 +4,7 @@ import random
 from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from textloom import queries as engine
 from textloom.functions import words as W
 from textloom.operators import documents as D
-from textloom.operators import names as N
+from textloom.operators.nearest import Index
 
 SF = "/root/testdata/sf0.001"
 
@@ -115,3 +116,34 @@ def test_slices_give_the_same(monkeypatch):
         monkeypatch.setattr(D, "CELLS", cells)
         assert made() == want
     assert len(want[0]) > 40 and len(want[1]) > 100 and len(want[2]) == 18
+
+
+@pytest.mark.parametrize("most", (3, 40, 2048))
+def test_nearest_word_equals_brute_force(most):
+    rng = random.Random(most)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.choice([1, 3, 4, 5, 6, 7, 8, 9, 12, 70])))
+    known = sorted({word() for _ in range(300)} | {"a" * 69 + "b"})
+    grams = lambda w: list(dict.fromkeys(f" {w} "[i : i + 3] for i in range(len(w))))
+    index = Index(pa.array(known), pa.array([grams(w) for w in known]))
+    place = {g: k for k, g in enumerate(index.gram.to_pylist())}
+    df = {g: sum(g in grams(w) for w in known) for g in place}
+
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for w in {word() for _ in range(150)} - set(known) | {"a" * 70}:
+        weight = {x: sum(1 / df[g] ** 2 for g in set(grams(w)) & set(grams(x))) for x in known if abs(len(x) - len(w)) <= 3 and set(grams(w)) & set(grams(x))}
+        tried = sorted(weight, key=lambda x: (-round(weight[x], 9), x))[:most]
+        near = [(far(w, x), -len(x), x) for x in tried]
+        want = min([x for x in near if x[0] == 1 or x[0] == 2 and len(w) >= 5 or x[0] == 3 and len(w) >= 7], default=None)
+        got = index.nearest(w, np.array([place[g] for g in grams(w) if g in place], np.int64), len(grams(w)), most, 3)
+        assert got == (want and (want[2], want[0])), w
+
+
+def test_spelling_joins_no_pairs(spark):
+    assert not any("Join" in x for x in _plan(engine.QUERIES["feature_spelling"](spark, SF)))
