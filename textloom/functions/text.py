@@ -23,6 +23,8 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 #: All of a text: runs of ASCII letters, of digits, of other letters; each mark; each run of white space as one blank.
 PIECES = r"[A-Za-z]+|[0-9]+|[^\x00-\x7F]+|[!-/:-@\[-`{-~]|\s+"
 
+ONE_PIECE = r"\A([A-Za-z]+|[0-9]+|[^\x00-\x7F]+|[!-/:-@\[-`{-~])\z"  # a word that is one of PIECES
+
 
 def pieces(text: Column) -> Column:
     """All tokens of a text, marks and blanks included, in its own case."""
@@ -36,6 +38,13 @@ def document_tokens(text: Column, spaces: bool = False) -> Column:
 
 def space_tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pos, off, tok): words between white space, with the offset of their first character."""
+    from ..operators import documents
+
+    return documents.by_document(docs, lambda d: documents.space_tokens(d, key), lambda d: _windowed_space_tokens(d, key), key)
+
+
+def _windowed_space_tokens(docs: DataFrame, key: str) -> DataFrame:
+    """space_tokens of keys with several rows."""
     parts = docs.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(r"\s+|\S+"), F.lit(0))).alias("k", "tok"))
     before = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.withColumn("off", F.coalesce(F.sum(F.length("tok")).over(before), F.lit(0)))
@@ -43,18 +52,21 @@ def space_tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return words.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("k")) - 1).cast("long").alias("pos"), F.col("off").cast("long").alias("off"), "tok")
 
 
-def retokenised(words: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
+def retokenised(words: DataFrame, vocab: DataFrame, key: str = "doc_id", shape: str | None = None) -> DataFrame:
     """(key, pos, sub, off, tok): space tokens that are no known word cut by the default tokenizer, others whole.
 
-    words: as of space_tokens; vocab: (tok).
+    words: as of space_tokens; vocab: (tok), of which all match `shape` if that is given.  Only words that the
+    tokenizer would cut, and that can be known by the shape, are looked up.
     """
+    from ..operators import documents
+
     known = vocab.select(F.col("tok").alias("low"), F.lit(True).alias("known"))
-    both = words.withColumn("low", F.lower("tok")).join(known, "low", "left")
-    cut = both.withColumn("ps", F.when(F.col("known"), F.array("tok")).otherwise(pieces(F.col("tok"))))
-    # pieces are short: the offset inside a word is the length of the pieces before
-    off = lambda i: F.aggregate(F.slice("ps", F.lit(1), i), F.lit(0), lambda acc, p: acc + F.length(p))
-    parts = cut.select(key, "pos", "off", F.posexplode(F.transform("ps", lambda p, i: F.struct(p.alias("tok"), off(i).alias("in")))).alias("sub", "p"))
-    return parts.select(key, "pos", F.col("sub").cast("long").alias("sub"), (F.col("off") + F.col("p.in")).cast("long").alias("off"), F.col("p.tok").alias("tok"))
+    one = F.col("tok").rlike(ONE_PIECE)
+    cut = words.withColumn("low", F.lower("tok")).withColumn("ps", F.when(one, F.array("tok")).otherwise(pieces(F.col("tok"))))
+    asked = ~one if shape is None else ~one & F.col("low").rlike(shape)
+    looked = cut.filter(asked).join(known, "low", "left").withColumn("ps", F.when(F.col("known"), F.array("tok")).otherwise(F.col("ps")))
+    columns = [key, "ps", "pos", "off"]
+    return documents.placed_pieces(cut.filter(~asked).select(*columns).unionByName(looked.select(*columns)), key)
 
 
 def grouped_number(text: Column) -> Column:

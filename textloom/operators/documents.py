@@ -133,6 +133,32 @@ def places(docs: DataFrame) -> DataFrame:
     return _stage(listed(docs), f"gram string, doc_id {_kind(docs, 'doc_id')}, places string", made)
 
 
+def space_tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, off, tok) as of text.space_tokens, of documents of one row each."""
+    parts = F.coalesce(F.regexp_extract_all("text", F.lit(r"\s+|\S+"), F.lit(0)), F.array().cast("array<string>"))
+
+    def made(b, a, n, vals, off):
+        row = _rows_of(off)
+        before = np.r_[0, np.cumsum(pc.utf8_length(vals).to_numpy().astype(np.int64))]
+        word = pc.invert(pc.is_in(pc.utf8_slice_codeunits(vals, 0, 1), pa.array(list(" \t\n\v\f\r")))).to_numpy(zero_copy_only=False)
+        words, at = np.r_[0, np.cumsum(word)], np.flatnonzero(word)
+        start = off[:-1][row[at]]
+        return b.column(0).take(pa.array(a + row[at])), pa.array(words[at] - words[start]), pa.array(before[at] - before[start]), vals.take(pa.array(at))
+
+    return _stage(docs.select(key, parts.alias("t")), f"{key} {_kind(docs, key)}, pos bigint, off bigint, tok string", made)
+
+
+def placed_pieces(words: DataFrame, key: str) -> DataFrame:
+    """(key, pos, sub, off, tok): pieces of words (key, ps, pos, off), each where the ones before it end."""
+    def made(b, a, n, vals, off):
+        row = _rows_of(off)
+        before = np.r_[0, np.cumsum(pc.utf8_length(vals).to_numpy().astype(np.int64))]
+        of, start = pa.array(a + row), off[:-1][row]
+        return b.column(0).take(of), b.column(2).take(of), pa.array(np.arange(len(row)) - start), pc.add(b.column(3).take(of), pa.array(before[:-1] - before[start])), vals
+
+    return _stage(words, f"{key} {_kind(words, key)}, pos bigint, sub bigint, off bigint, tok string", made)
+
+
 def top_feature(docs: DataFrame) -> DataFrame:
     """(doc_id, gram, topcnt): the most frequent token of each document; the least among equals."""
     def made(b, a, n, vals, off):
