@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -292,6 +293,70 @@ def language_scores(docs: DataFrame, model: pa.Table) -> DataFrame:
     return token_rows(docs).mapInArrow(run, f"doc_id {_kind(docs, 'doc_id')}, guess string")
 
 
+def phrase_words(rows: DataFrame) -> DataFrame:
+    """(gram, n): words and in how many phrases (k, t) they are, a row a batch."""
+    def run(batches):
+        for b in batches:
+            for _, _, vals, off in _slices(b):
+                words, code, order, first = _groups(vals, _rows_of(off))
+                n = np.bincount(code[order[first]], minlength=len(words))
+                yield pa.record_batch([words, pa.array(n)], ["gram", "n"])
+
+    return rows.mapInArrow(run, "gram string, n bigint")
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+
+
+class Counts:
+    """Counts of words by 64-bit hash; -1 where two words share one."""
+
+    def __init__(self, words: DataFrame) -> None:
+        """words: (gram, n)."""
+        def run(batches):
+            for b in batches:
+                yield pa.record_batch([pa.array(_hashes(b.column(0)).view(np.int64)), b.column(1)], ["h", "n"])
+
+        got = words.select("gram", "n").mapInArrow(run, "h bigint, n bigint").toArrow()
+        h = got.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        h, n = h[order], got.column("n").to_numpy()[order].copy()
+        again = np.flatnonzero(h[1:] == h[:-1])
+        n[again] = n[again + 1] = -1
+        self.hash, self.n = h, n
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        """A count of each word; 0 for those that are not held."""
+        if not len(self.hash) or not len(words):
+            return np.zeros(len(words), np.int64)
+        h = _hashes(words)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where(self.hash[at] == h, self.n[at], 0)
+
+
+def even_grams(rows: DataFrame, counts, size: int) -> DataFrame:
+    """(gram, n): grams of a size and in how many phrases (k, t) they are, a row a batch, but for those whose words are
+    in different numbers of phrases (counts: a broadcast of Counts) or are not held."""
+    def run(batches):
+        for b in batches:
+            for _, _, vals, off in _slices(b):
+                coded = vals.dictionary_encode()
+                n = counts.value.of(coded.dictionary)[coded.indices.to_numpy()]
+                row = _rows_of(off)
+                last = max(0, len(vals) - size + 1)
+                parts = [n[k : k + last] for k in range(size)]
+                even = (row[:last] == row[size - 1 :][:last]) & np.all([x != 0 for x in parts], axis=0) if last else np.zeros(0, bool)
+                for x in parts[1:]:
+                    even &= (x == parts[0]) | (x < 0) | (parts[0] < 0)
+                at = np.flatnonzero(even)
+                grams = pc.binary_join_element_wise(*[vals.take(pa.array(at + k)) for k in range(size)], " ")
+                words, code, order, first = _groups(grams, row[at])
+                yield pa.record_batch([words, pa.array(np.bincount(code[order[first]], minlength=len(words)))], ["gram", "n"])
+
+    return rows.mapInArrow(run, "gram string, n bigint")
+
+
 class Asked:
     """Queries (item, gram) as arrays: for each gram of the vocabulary the items that have it."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import phrases, token_array
+from . import documents as D
 from ..plans.answers import left_over
 from ..plans.rewriter import Grammar, parse
 
@@ -26,13 +27,23 @@ def phrase_grams(rows: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
     return held.select(F.explode(F.array_distinct(t)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
+COUNTS_MOST = 16_000_000  # words with a count that go to every task, 16 bytes each
+
+
 def keyword_grams(rows: DataFrame, least: int = 2) -> DataFrame:
     """(gram, n): keywords of phrases (.., text): grams of `least` phrases or more.
 
     A trigram is one if each of its parts occurs in as many phrases as itself (and so in the same); a bigram if its words
     do and no such trigram has it; a word if some such bigram lacks it and no such trigram has it.
     """
-    one, two, three = (phrase_grams(rows, k).filter(F.col("n") >= least) for k in (1, 2, 3))
+    texts = rows.select(F.lit(0).alias("k"), F.coalesce(token_array(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    summed = lambda made: made.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).localCheckpoint()  # noqa: E731  each is read more than once
+    one = summed(D.phrase_words(texts))
+    if one.count() <= COUNTS_MOST:  # other grams than those of words with the same count are none, and are not shuffled
+        sent = rows.sparkSession.sparkContext.broadcast(D.Counts(one))
+        two, three = (summed(D.even_grams(texts, sent, k)) for k in (2, 3))
+    else:
+        two, three = (phrase_grams(rows, k).filter(F.col("n") >= least).localCheckpoint() for k in (2, 3))
     word = lambda k: F.split("gram", " ")[k]
 
     def whole(grams: DataFrame, parts: list) -> DataFrame:
